@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, partitions
 from .components import components
-from .words import U, mix, scans
+from .words import U, mix, runs, scans
 
 #: (parts, spare) of instances up to SMALL features and of larger ones, where whole groups are told apart well enough
 SMALL, CUT_SMALL, CUT_LARGE = 64, (4, 1), (1, 0)
@@ -143,7 +143,7 @@ def _packed(k: int, percent: int, buckets: int):
 
     def run(batches):
         sizes, seen = Sizes(percent), {}
-        for b in batches:
+        for b in runs(batches):
             ids = b.column("doc_id")
             docs, sets, copies = [], [], []
             for i, own in feature_sets(b.column("text"), k):
@@ -265,7 +265,7 @@ def _across(percent: int):
 
 def _features(k: int):
     def run(batches):
-        for b in batches:
+        for b in runs(batches):
             sets = [None] * b.num_rows
             for i, own in feature_sets(b.column("text"), k):
                 sets[i] = own.view(np.int64)

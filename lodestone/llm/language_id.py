@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import slices, utf8
+from .words import runs, slices, utf8
 
 #: fixed values: language families by ISO 639-1 code
 FAMILIES = {
@@ -216,15 +216,13 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS):
-                b = whole.slice(lo, ROWS)
-                texts = b.column("text")
-                langs, score = shared.value.predict(texts)
-                for i, t in enumerate(texts.to_pylist()):
-                    if not t or not _LETTERS.search(t):
-                        langs[i], score[i] = "und", 1.0
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+        for b in runs(batches, ROWS):
+            texts = b.column("text")
+            langs, score = shared.value.predict(texts)
+            for i, t in enumerate(texts.to_pylist()):
+                if not t or not _LETTERS.search(t):
+                    langs[i], score[i] = "und", 1.0
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     texts = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")

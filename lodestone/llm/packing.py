@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, partitions
 from .tokens import default_path, encoder
+from .words import runs
 
 CAPACITY, OPEN_BINS, END_ID = 4096, 512, 1
 ROWS = 512
@@ -76,25 +77,23 @@ def token_pieces(path: str, capacity: int, end_id: int):
     """Rows (doc_id, piece, start, length, ids_crc32) of a batch of documents."""
 
     def run(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS):
-                b = whole.slice(lo, ROWS)
-                ids, offsets = encoder(path).encode(b.column("text"))
-                raw, end = ids.astype("<u4").tobytes(), np.array([end_id], "<u4").tobytes()
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                    own = raw[4 * a : 4 * z] + end
-                    for p, at in enumerate(range(0, len(own) // 4, capacity)):
-                        cut = own[4 * at : 4 * (at + capacity)]
-                        row.append(i)
-                        piece.append(p)
-                        start.append(at)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        for b in runs(batches, ROWS):
+            ids, offsets = encoder(path).encode(b.column("text"))
+            raw, end = ids.astype("<u4").tobytes(), np.array([end_id], "<u4").tobytes()
+            row, piece, start, length, crc = [], [], [], [], []
+            for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                own = raw[4 * a : 4 * z] + end
+                for p, at in enumerate(range(0, len(own) // 4, capacity)):
+                    cut = own[4 * at : 4 * (at + capacity)]
+                    row.append(i)
+                    piece.append(p)
+                    start.append(at)
+                    length.append(len(cut) // 4)
+                    crc.append(zlib.crc32(cut))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return run
 

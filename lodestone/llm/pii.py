@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import runs
+
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, MARGIN = 16, 1.0
 
@@ -316,7 +318,7 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        for b in batches:
+        for b in runs(batches):
             counts, base_text, spans = {k: [] for k in KINDS}, [], []
             for text in b.column("text").to_pylist():
                 base, more = all_spans(text, shared.value)
@@ -348,7 +350,7 @@ def mask_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field or trained())
 
     def run(batches):
-        for b in batches:
+        for b in runs(batches):
             texts = b.column("text").to_pylist()
             new = [masked(t, shared.value) for t in texts]
             at = b.schema.get_field_index("text")

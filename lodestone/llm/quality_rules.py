@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .words import Scan, slices, utf8
+from .words import Scan, runs, slices, utf8
 
 #: fixed values: symbols that count
 SYMBOLS = b"#*$%&|<>"
@@ -93,7 +93,7 @@ def metrics(column: pa.Array) -> list[np.ndarray]:
 
 
 def _measure(batches):
-    for b in batches:
+    for b in runs(batches):
         found = metrics(b.column("text"))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), *map(pa.array, found)], ["doc_id", "host", *(x.split()[0] for x in METRICS.split(", "))])
 
@@ -145,12 +145,12 @@ def quality_rules(docs: DataFrame, host: Column | str = "source", host_rate: flo
 
 
 def _flag(batches):
-    for b in batches:
+    for b in runs(batches):
         yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(_failed(metrics(b.column("text"))))], ["host", "base_failed"])
 
 
 def _sift(batches):
-    for b in batches:
+    for b in runs(batches):
         yield b.filter(pa.array(~_failed(metrics(b.column("text")))))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import partitions
-from .words import U, scans
+from .words import U, runs, scans
 
 K, M = 20, 8
 
@@ -44,7 +44,7 @@ def _packed(k: int, m: int, buckets: int):
     """Rows (bucket, docs, counts, starts, mins, sizes, windows): runs of windows with one minimizer."""
 
     def run(batches):
-        for b in batches:
+        for b in runs(batches):
             ids, valid = b.column("doc_id"), b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             names = ids.fill_null(0).to_numpy()
             out = []
@@ -138,7 +138,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, buckets: int | None
 
 
 def _kept(batches):
-    for b in batches:
+    for b in runs(batches):
         texts, spans = b.column("text").to_pylist(), b.column("spans").to_pylist()
         n_words, n_removed, kept = [], [], []
         for text, own in zip(texts, spans, strict=True):

@@ -127,3 +127,13 @@ def scans(column: pa.Array, lower: bool = False, hashed: bool = True) -> Iterato
     data, offsets = utf8(column)
     for lo, hi in slices(offsets):
         yield lo, Scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, hashed)
+
+
+def runs(batches, most_rows: int = 1024, most_bytes: int = 4 << 20):
+    """The batches in runs of few rows and bytes, so that what is made of a run stays small; a longer text is a run."""
+    for b in batches:
+        at = b.schema.get_field_index("text")
+        _, offsets = utf8(b.column(at)) if b.num_rows else (None, np.zeros(1, np.int64))
+        for lo, hi in slices(offsets, most_bytes):
+            for i in range(lo, hi, most_rows):
+                yield b.slice(i, min(most_rows, hi - i))
