@@ -60,24 +60,25 @@ class Sizes:
             self.tops.append(low * 100 // self.percent)
         return int(np.searchsorted(self.tops, n))
 
-    def cut(self, band: int) -> tuple[int, int, int]:
-        """Groups, parts and spare of a band's instance; no groups if its similar sets are equal."""
+    def cut(self, band: int) -> tuple[int, int, int, int]:
+        """Groups, parts, spare and greatest difference of a band's instance; no groups if its similar sets are equal."""
         while len(self.tops) <= band:
             self.band(self.tops[-1] + 1 if self.tops else 1)
         parts, spare = CUT_SMALL if self.tops[band] <= SMALL else CUT_LARGE
         far = 2 * self.tops[band] * (100 - self.percent) // (100 + self.percent)
         lost = far // (spare + 1)
-        return (lost + lost * (3 if spare else 1) // 10 + 2 if far else 0), parts, spare
+        return (lost + lost * (3 if spare else 1) // 10 + 2 if far else 0), parts, spare, far
 
 
 def signatures(features: np.ndarray, sizes: Sizes) -> np.ndarray:
     """64-bit signatures of a non-empty set of distinct, sorted 64-bit features."""
     n = len(features)
     own = sizes.band(n)
-    far = n * (100 - sizes.percent) // sizes.percent
+    own_far = n * (100 - sizes.percent) // sizes.percent
     out = []
     for band in (own, own + 1):
-        groups, parts, spare = sizes.cut(band)
+        groups, parts, spare, far = sizes.cut(band)
+        far = min(far, own_far)
         cells = groups * parts
         for seed in range(SEEDS if groups else 0):
             h = np.sort(mix(features ^ U(seed * 0x9E3779B9))) if seed else features
