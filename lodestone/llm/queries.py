@@ -59,3 +59,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pfair_mixing, op2_language_id, op3_jaccard_join, op4_best_fit_packing, op5_token_shards, op6_quality_rules, op7_warc, op8_pii, op9_substring_dedup, op10_exact_topk)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
