@@ -50,6 +50,11 @@ def _c(x: C) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: Spark evaluates a lambda's outer expressions at every call."""
+    return F.transform(F.array(value), use)[0]
+
+
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
@@ -113,10 +118,15 @@ def paragraphs(text: C) -> Column:
 
 
 def top_counts(found: Column, n: int) -> Column:
-    """The n most frequent strings of an array, ties by first occurrence."""
-    distinct = F.array_distinct(found)
-    scored = F.transform(distinct, lambda w: F.struct((-F.size(F.filter(found, lambda x: x == w))).alias("n"), F.array_position(found, w).alias("at"), w.alias("w")))
-    return F.transform(F.slice(F.array_sort(scored), 1, n), lambda s: s["w"])
+    """The n most frequent strings of an array, ties by first occurrence.
+
+    Each distinct string is counted in a pass over the array; long texts are better exploded and counted by group.
+    """
+    def ranked(all_: Column) -> Column:
+        scored = F.transform(F.array_distinct(all_), lambda w: F.struct((-F.size(F.filter(all_, lambda x: x == w))).alias("n"), F.array_position(all_, w).alias("at"), w.alias("w")))
+        return F.transform(F.slice(F.array_sort(scored), 1, n), lambda s: s["w"])
+
+    return let(found, ranked)
 
 
 def keywords(text: C, n: int = 10, least: int = 5) -> Column:
@@ -129,25 +139,29 @@ def top_keywords(text: C, n: int = 15, least: int = 4) -> Column:
 
 def char_entropy(text: C) -> Column:
     """Shannon entropy of lower-cased characters by a fold over the distinct ones, an eighth of it, at most 1."""
+    def bits(t: Column) -> Column:
+        low, total = t["low"], t["total"]
+        share = lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))) / total
+        return F.aggregate(F.filter(F.array_distinct(F.split(low, "")), lambda c: c != ""), F.lit(0.0), lambda acc, c: acc - let(share(c), lambda p: p * F.log2(p)))
+
     text = _c(text)
-    total = F.length(text).cast("double")
-    low = F.lower(text)
-    chars = F.array_distinct(F.filter(F.split(low, ""), lambda c: c != ""))
-    share = lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))) / total
-    bits = F.aggregate(chars, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
-    return F.when(total > 0, F.least(F.lit(1.0), bits / 8)).otherwise(0.0)
+    held = F.struct(F.lower(text).alias("low"), F.length(text).cast("double").alias("total"))
+    return F.when(F.length(text) > 0, F.least(F.lit(1.0), let(held, bits) / 8)).otherwise(0.0)
 
 
 def information_density(text: C) -> Column:
     text = _c(text)
-    w = words(text)
-    n = F.size(w).cast("double")
-    unique = F.size(F.array_distinct(F.transform(w, F.lower)))
-    length = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
-    named = F.regexp_count(text, F.lit(PROPER_NOUN))
-    marks = F.length(text) - F.length(F.translate(text, ".,;:!?", ""))
-    value = unique / n * 0.4 + F.least(length / n / 10, F.lit(1.0)) * 0.2 + F.least(named / n * 5, F.lit(1.0)) * 0.3 + F.least(marks / F.length(text) * 10, F.lit(1.0)) * 0.1
-    return F.when(n > 0, F.least(F.lit(1.0), value)).otherwise(0.0)
+
+    def value(w: Column) -> Column:
+        n = F.size(w).cast("double")
+        unique = F.size(F.array_distinct(F.transform(w, F.lower)))
+        length = F.length(F.array_join(w, ""))
+        named = F.regexp_count(text, F.lit(PROPER_NOUN))
+        marks = F.length(text) - F.length(F.translate(text, ".,;:!?", ""))
+        score = unique / n * 0.4 + F.least(length / n / 10, F.lit(1.0)) * 0.2 + F.least(named / n * 5, F.lit(1.0)) * 0.3 + F.least(marks / F.length(text) * 10, F.lit(1.0)) * 0.1
+        return F.when(n > 0, F.least(F.lit(1.0), score)).otherwise(0.0)
+
+    return let(words(text), value)
 
 
 def signal_to_noise(text: C) -> Column:
@@ -213,13 +227,17 @@ def quality_signals(text: C) -> Column:
 def readability(text: C) -> Column:
     """Counts, means and reading ease; null where there is no sentence or word."""
     text = _c(text)
-    n_sent = F.size(sentences(text))
-    w = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    n = F.size(w)
-    syllables = F.aggregate(w, F.lit(0), lambda a, x: a + F.when(F.length(x) <= 3, 1).otherwise(F.regexp_count(F.lower(x), F.lit("[aeiouy]+"))))
-    length = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
-    ease = F.lit(206.835) - F.lit(1.015) * (n / n_sent) - F.lit(84.6) * (syllables / n)
-    return F.when((n_sent > 0) & (n > 0), F.struct(n.alias("word_count"), n_sent.alias("sentence_count"), F.round(n / n_sent, 1).alias("avg_sentence_length"), F.round(length / n, 1).alias("avg_word_length"), F.greatest(F.lit(0.0), F.round(ease, 1)).alias("flesch_reading_ease"), syllables.alias("syllable_count")))
+    found = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    # one pass for short words, one for the vowel groups of the longer ones, joined by a mark that is no vowel
+    long_ = lambda w: F.array_join(F.filter(w, lambda x: F.length(x) > 3), "|")
+    held = let(found, lambda w: F.struct(F.size(w).alias("n"), (F.size(F.filter(w, lambda x: F.length(x) <= 3)) + F.regexp_count(F.lower(long_(w)), F.lit("[aeiouy]+"))).alias("syl"), F.length(F.array_join(w, "")).alias("len"), F.size(sentences(text)).alias("s")))
+
+    def metrics(h: Column) -> Column:
+        n, n_sent = h["n"], h["s"]
+        ease = F.lit(206.835) - F.lit(1.015) * (n / n_sent) - F.lit(84.6) * (h["syl"] / n)
+        return F.when((n_sent > 0) & (n > 0), F.struct(n.alias("word_count"), n_sent.alias("sentence_count"), F.round(n / n_sent, 1).alias("avg_sentence_length"), F.round(h["len"] / n, 1).alias("avg_word_length"), F.greatest(F.lit(0.0), F.round(ease, 1)).alias("flesch_reading_ease"), h["syl"].alias("syllable_count")))
+
+    return let(held, metrics)
 
 
 def url_content_type(url: C) -> Column:
@@ -235,10 +253,18 @@ def url_content_type(url: C) -> Column:
 
 def without_repeated_headers(text: Column) -> Column:
     """In texts of over ten lines, short lines of under five words that come more than three times are kept once."""
-    lines = F.split(text, "\n")
-    repeated = F.filter(F.array_distinct(lines), lambda x: (F.length(x) < 80) & (F.size(words(x)) < 5) & (F.size(F.filter(lines, lambda y: y == x)) > 3))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(repeated, x) | (F.array_position(lines, x) == i + 1))
-    return F.when((F.size(lines) > 10) & (F.size(repeated) > 0), F.array_join(kept, "\n")).otherwise(text)
+    def repeated(lines: Column) -> Column:
+        short = F.filter(lines, lambda x: (F.length(x) < 80) & (F.size(words(x)) < 5))
+        return let(F.array_sort(short), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i >= 3) & (F.get(s, i - 3) == x))))
+
+    def once(h: Column) -> Column:
+        return F.filter(h["l"], lambda x, i: ~F.array_contains(h["r"], x) | (F.array_position(h["l"], x) == i + 1))
+
+    def clean(t: Column) -> Column:
+        held = let(F.split(t, "\n"), lambda lines: F.struct(lines.alias("l"), repeated(lines).alias("r")))
+        return let(held, lambda h: F.when((F.size(h["l"]) > 10) & (F.size(h["r"]) > 0), F.array_join(once(h), "\n")).otherwise(t))
+
+    return let(text, clean)
 
 
 def advanced_clean(text: C) -> Column:
@@ -274,13 +300,12 @@ def sections(text: C) -> Column:
     start = F.struct(F.lit("Main Content").alias("at"), empty.alias("m"))
     put = lambda m, k, v: F.map_concat(F.map_filter(m, lambda x, _: x != k), F.create_map(k, v))
 
-    def step(acc: Column, line: Column) -> Column:
-        t = title(line)
+    def step(acc: Column, line: Column, t: Column) -> Column:
         heading = t.isNotNull()
         enter = heading & (t != "") & (t != acc["at"])
         return F.when(enter, F.struct(t.alias("at"), put(acc["m"], t, F.array().cast("array<string>")).alias("m"))).when(~heading & (F.length(line) > 10), F.struct(acc["at"].alias("at"), put(acc["m"], acc["at"], F.concat(F.element_at(acc["m"], acc["at"]), F.array(line))).alias("m"))).otherwise(acc)
 
-    folded = F.aggregate(lines, start, step, lambda acc: acc["m"])
+    folded = F.aggregate(lines, start, lambda acc, line: let(F.struct(acc.alias("a"), line.alias("l"), title(line).alias("t")), lambda h: step(h["a"], h["l"], h["t"])), lambda acc: acc["m"])
     return F.map_filter(folded, lambda _, v: F.size(v) > 0)
 
 
