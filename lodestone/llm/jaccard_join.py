@@ -29,7 +29,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +43,7 @@ _SUBSETS = {c: list(combinations(range(c[0]), c[0] - c[1])) for c in (CUT_SMALL,
 _ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 SEEDS = 64
 #: members of a group that are compared in one block, and rows sent to the driver's broadcast at most
-BLOCK, BROADCAST_ROWS = 1024, 1_000_000
+BLOCK, BROADCAST_ROWS = 4096, 1_000_000
 
 
 class Sizes:
@@ -234,32 +233,89 @@ def allows(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
+def _group_pairs(sizes: np.ndarray, starts: np.ndarray, most: int = 1 << 20):
+    """Row pairs (p < q) within groups of consecutive rows, in arrays of about ``most`` pairs."""
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        begin = starts[sizes == size]
+        if size * size <= most:
+            left, right = np.triu_indices(size, 1)
+            step = max(1, most // len(left))
+            for lo in range(0, len(begin), step):
+                at = begin[lo : lo + step, None]
+                yield (at + left).ravel(), (at + right).ravel()
+        else:
+            for own in begin.tolist():
+                for p in range(size - 1):
+                    yield np.full(size - 1 - p, own + p), own + np.arange(p + 1, size)
+
+
+def _bounded(a: np.ndarray, b: np.ndarray, ns: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which of the row pairs (a, b) may link by their class counts."""
+    length = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    place, table = np.zeros(len(sketches), np.int64), {}
+    for size in np.unique(length).tolist():
+        own = np.flatnonzero(length == size)
+        place[own] = np.arange(len(own))
+        table[size] = np.frombuffer(b"".join([sketches[i] for i in own.tolist()]), np.uint8).reshape(len(own), size)
+    keep = np.ones(len(a), bool)
+    kinds = length[a] << 32 | length[b]
+    for kind in np.unique(kinds).tolist():
+        x, y = kind >> 32, kind & 0xFFFFFFFF
+        if not x or not y:
+            continue
+        size = min(x, y)
+        of = np.flatnonzero(kinds == kind)
+        for lo in range(0, len(of), max(1, (1 << 24) // max(x, y))):
+            at = of[lo : lo + max(1, (1 << 24) // max(x, y))]
+            p, q = table[x][place[a[at]]], table[y][place[b[at]]]
+            if x != y:
+                p, q = _fold(p.astype(np.uint16), size), _fold(q.astype(np.uint16), size)
+            both = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+            keep[at] = 100 * both >= percent * (ns[a[at]] + ns[b[at]] - both)
+    return keep
+
+
 def _across(percent: int):
-    """Of one block pair of a group: the pairs of documents of different components that may link."""
-
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        frame = frame.drop_duplicates("doc_id").sort_values("doc_id")
-        left = frame[frame["block"] == i]
-        right = frame[frame["block"] == j]
-        rows = []
-        by_size: dict[int, list] = {}
-        for sk, doc, n, comp in zip(right["sketch"], right["doc_id"], right["n_shingles"], right["component"], strict=True):
-            by_size.setdefault(len(sk), []).append((sk, doc, n, comp))
-        packed = {s: (np.frombuffer(b"".join(x[0] for x in v), np.uint8).reshape(len(v), s) if s else None, *(np.array([x[c] for x in v], np.int64) for c in (1, 2, 3))) for s, v in by_size.items()}
-        for sk, doc, n, comp in zip(left["sketch"], left["doc_id"], left["n_shingles"], left["component"], strict=True):
-            own = np.frombuffer(sk, np.uint8).astype(np.int32)
-            for s, (counts, docs, ns, comps) in packed.items():
-                ok = (comps != comp) & (100 * np.minimum(ns, n) >= percent * np.maximum(ns, n))
-                if i == j:
-                    ok &= docs > doc
-                at = np.flatnonzero(ok)
-                if len(at) and s and len(own):
-                    size = min(s, len(own))
-                    both = np.minimum(_fold(counts[at].astype(np.int32), size), _fold(own, size)).sum(axis=1)
-                    at = at[100 * both >= percent * (ns[at] + n - both)]
-                rows += [(min(doc, d), max(doc, d)) for d in docs[at].tolist()]
-        return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+    """Of groups in order: the pairs of documents of different components that may link, each once a task.
+
+    Groups of one first member come to one task, and these mostly hold the same pairs.
+    """
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            gid, doc, n, comp, block, i, j = (table.column(c).to_numpy() for c in ("gid", "doc_id", "n_shingles", "component", "block", "i", "j"))
+            cut = np.flatnonzero(np.append(True, (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            sketches = table.column("sketch").to_pylist()
+            out: list[np.ndarray] = []
+            for p, q in _group_pairs(np.diff(np.append(cut, len(gid))), cut):
+                ok = (comp[p] != comp[q]) & (doc[p] != doc[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+                ok &= (i[p] == j[p]) | (block[p] != block[q])
+                p, q = p[ok], q[ok]
+                if not len(p):
+                    continue
+                both, where = np.unique(np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q])], axis=1), axis=0, return_index=True)
+                new = np.array([x not in seen for x in map(tuple, both.tolist())], bool)
+                both, where = both[new], where[new]
+                seen.update(map(tuple, both.tolist()))
+                out.append(both[_bounded(p[where], q[where], n, sketches, percent)])
+            if len(seen) > 4_000_000:
+                seen.clear()
+            found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        held = None
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            held = table if held is None else pa.concat_tables([held, table])
+            gid = held.column("gid").to_numpy()
+            cut = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if len(gid) and (gid != gid[-1]).any() else 0
+            if cut:
+                yield pairs(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield pairs(held)
 
     return run
 
@@ -313,15 +369,16 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, buckets: int |
     found = components(links, "jaccard")
     named = size.select("doc_id", "n_shingles", "sketch").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     named = materialise(named, "jaccard-named")
-    open_ = groups.filter("not copies and size(members) > 2").select(F.xxhash64("members").alias("gid"), "members").dropDuplicates(["gid", "members"])
-    open_ = open_.withColumn("gid", F.xxhash64("gid", F.size("members"))).select("gid", F.size("members").alias("size"), F.explode("members").alias("doc_id"))
+    open_ = groups.filter("not copies and size(members) > 2").select("members").distinct()
+    open_ = open_.select(F.xxhash64("members", F.size("members")).alias("gid"), F.col("members")[0].alias("rep"), F.size("members").alias("size"), F.explode("members").alias("doc_id"))
     labelled = open_.join(named.select("doc_id", "component"), "doc_id")
     mixed = labelled.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    spread = labelled.select("gid", "doc_id", "size").join(mixed, "gid").join(named, "doc_id")
+    spread = labelled.select("gid", "rep", "doc_id", "size").join(mixed, "gid").join(named, "doc_id")
     spread = spread.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    cross = spread.select("gid", "i", "j", "block", "doc_id", "n_shingles", "sketch", "component").groupBy("gid", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct()
+    spread = spread.select("rep", "gid", "i", "j", "block", "doc_id", "n_shingles", "sketch", "component").repartition("rep", "i", "j").sortWithinPartitions("rep", "gid", "i", "j", "doc_id")
+    cross = spread.mapInArrow(_across(percent), "a long, b long").distinct()
     more = _verified(docs, cross.join(links, ["a", "b"], "left_anti"), k, percent)
     more = more.join(named.select(F.col("doc_id").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("component").alias("cb")), "b")
     merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "jaccard-merge").select(F.col("node").alias("component"), F.col("component").alias("merged"))
