@@ -276,34 +276,31 @@ def _bounded(a: np.ndarray, b: np.ndarray, ns: np.ndarray, sketches: list[bytes]
 
 
 def _across(percent: int):
-    """Of groups in order: the pairs of documents of different components that may link, each once a task.
+    """Of groups in order: the pairs of documents of different components that may link, each once a batch.
 
     Groups of one first member come to one task, and these mostly hold the same pairs.
     """
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
-
         def pairs(table: pa.Table) -> pa.RecordBatch:
             gid, doc, n, comp, block, i, j = (table.column(c).to_numpy() for c in ("gid", "doc_id", "n_shingles", "component", "block", "i", "j"))
             cut = np.flatnonzero(np.append(True, (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-            sketches = table.column("sketch").to_pylist()
-            out: list[np.ndarray] = []
+            names, row, which = np.unique(doc, return_index=True, return_inverse=True)
+            keys, held_keys = [], 0
             for p, q in _group_pairs(np.diff(np.append(cut, len(gid))), cut):
                 ok = (comp[p] != comp[q]) & (doc[p] != doc[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
                 ok &= (i[p] == j[p]) | (block[p] != block[q])
-                p, q = p[ok], q[ok]
-                if not len(p):
-                    continue
-                both, where = np.unique(np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q])], axis=1), axis=0, return_index=True)
-                new = np.array([x not in seen for x in map(tuple, both.tolist())], bool)
-                both, where = both[new], where[new]
-                seen.update(map(tuple, both.tolist()))
-                out.append(both[_bounded(p[where], q[where], n, sketches, percent)])
-            if len(seen) > 4_000_000:
-                seen.clear()
-            found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+                x, y = which[p[ok]], which[q[ok]]
+                keys.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
+                held_keys += len(keys[-1])
+                if held_keys > 4_000_000:
+                    keys = [np.unique(np.concatenate(keys))]
+                    held_keys = 0
+            key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            x, y = key // max(1, len(names)), key % max(1, len(names))
+            few = table.column("sketch").take(pa.array(row)).to_pylist()
+            keep = _bounded(x, y, n[row], few, percent)
+            return pa.RecordBatch.from_arrays([pa.array(names[x[keep]]), pa.array(names[y[keep]])], ["a", "b"])
 
         held = None
         for b in batches:
