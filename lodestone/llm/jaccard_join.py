@@ -15,7 +15,7 @@ Signatures travel as packed arrays, one row a bucket and batch, and each bucket
 The groups of sets that share a signature give links to their first member, which is linear in a
 group's size. A verified link joins components. Groups that still span several components afterwards
 are compared in blocks across components, so that no link between components is missed.
-Before shingles are compared, counts by feature class bound the intersection from above, which
+Before shingles are compared, bits by feature class bound the intersection from above, which
 drops chance candidates and can't drop a link. Links are verified on whole shingle sets.
 
 Defined cases: a document without words or with null text has an empty set and no link; one with
@@ -99,14 +99,22 @@ def signatures(features: np.ndarray, sizes: Sizes) -> np.ndarray:
 
 
 def sketch(features: np.ndarray) -> bytes:
-    """Counts of features by hash class; empty if a count doesn't fit, which bounds nothing."""
-    classes = 1 << max(4, (len(features) // 4).bit_length())
-    counts = np.bincount((features & U(classes - 1)).astype(np.int64), minlength=classes)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    """A bit for each hash class that holds a feature, of four to eight classes a feature."""
+    classes = 1 << max(6, (4 * len(features) - 1).bit_length())
+    held = np.zeros(classes, np.uint8)
+    held[(features & U(classes - 1)).astype(np.int64)] = 1
+    return np.packbits(held, bitorder="little").tobytes()
 
 
-def _fold(counts: np.ndarray, size: int) -> np.ndarray:
-    return counts.reshape(*counts.shape[:-1], -1, size).sum(axis=-2)
+def _fold(words: np.ndarray, size: int) -> np.ndarray:
+    """The sketch over ``size`` words that the same features would have."""
+    return np.bitwise_or.reduce(words.reshape(*words.shape[:-1], -1, size), axis=-2)
+
+
+def _most_common(p: np.ndarray, q: np.ndarray, n, m):
+    """A bound of the intersections: a class held by one set alone is a feature that the other lacks."""
+    lacks = lambda x, y: np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64)
+    return np.minimum(n - lacks(p, q), m - lacks(q, p))
 
 
 def feature_sets(column: pa.Array, k: int):
@@ -212,7 +220,7 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _may_link(percent: int):
-    """Keeps the pairs whose class counts allow the threshold."""
+    """Keeps the pairs whose sketches allow the threshold."""
 
     def run(batches):
         for b in batches:
@@ -227,9 +235,9 @@ def _may_link(percent: int):
 def allows(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     if not x or not y:
         return True
-    p, q = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
     size = min(len(p), len(q))
-    both = int(np.minimum(_fold(p, size), _fold(q, size)).sum())
+    both = int(_most_common(_fold(p, size), _fold(q, size), n, m))
     return 100 * both >= percent * (n + m - both)
 
 
@@ -250,13 +258,13 @@ def _group_pairs(sizes: np.ndarray, starts: np.ndarray, most: int = 1 << 20):
 
 
 def _bounded(a: np.ndarray, b: np.ndarray, ns: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
-    """Which of the row pairs (a, b) may link by their class counts."""
+    """Which of the row pairs (a, b) may link by their sketches."""
     length = np.fromiter(map(len, sketches), np.int64, len(sketches))
     place, table = np.zeros(len(sketches), np.int64), {}
     for size in np.unique(length).tolist():
         own = np.flatnonzero(length == size)
         place[own] = np.arange(len(own))
-        table[size] = np.frombuffer(b"".join([sketches[i] for i in own.tolist()]), np.uint8).reshape(len(own), size)
+        table[size] = np.frombuffer(b"".join([sketches[i] for i in own.tolist()]), "<u8").reshape(len(own), size // 8)
     keep = np.ones(len(a), bool)
     kinds = length[a] << 32 | length[b]
     for kind in np.unique(kinds).tolist():
@@ -269,8 +277,8 @@ def _bounded(a: np.ndarray, b: np.ndarray, ns: np.ndarray, sketches: list[bytes]
             at = of[lo : lo + max(1, (1 << 24) // max(x, y))]
             p, q = table[x][place[a[at]]], table[y][place[b[at]]]
             if x != y:
-                p, q = _fold(p.astype(np.uint16), size), _fold(q.astype(np.uint16), size)
-            both = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+                p, q = _fold(p, size // 8), _fold(q, size // 8)
+            both = _most_common(p, q, ns[a[at]], ns[b[at]])
             keep[at] = 100 * both >= percent * (ns[a[at]] + ns[b[at]] - both)
     return keep
 
