@@ -241,20 +241,36 @@ def allows(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
-def _group_pairs(sizes: np.ndarray, starts: np.ndarray, most: int = 1 << 20):
-    """Row pairs (p < q) within groups of consecutive rows, in arrays of about ``most`` pairs."""
-    for size in np.unique(sizes[sizes > 1]).tolist():
-        begin = starts[sizes == size]
-        if size * size <= most:
+def _met(which: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np.ndarray, n: int, most: int = 1 << 22):
+    """Pairs (x < y) of ``n`` members that stand in one group, each once, in arrays of bounded size.
+
+    which: the members of consecutive groups, ascending in each; side: 0, or in a group of two blocks
+    0 for the first block's and another number for the second's, and then only pairs of both count.
+    """
+    sizes = ends - starts
+    if int((sizes * sizes).sum()) * 8 < n * n:
+        keys = []
+        for size in np.unique(sizes[sizes > 1]).tolist():
             left, right = np.triu_indices(size, 1)
-            step = max(1, most // len(left))
-            for lo in range(0, len(begin), step):
-                at = begin[lo : lo + step, None]
-                yield (at + left).ravel(), (at + right).ravel()
+            at = starts[sizes == size][:, None]
+            p, q = (at + left).ravel(), (at + right).ravel()
+            keys.append(which[p] * n + which[q])
+        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        yield key // n, key % n
+        return
+    meets = np.zeros((n, n), bool)
+    for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+        own, second = which[lo:hi], side[lo:hi] != 0
+        if second.any():
+            meets[np.ix_(own[~second], own[second])] = True
+            meets[np.ix_(own[second], own[~second])] = True
         else:
-            for own in begin.tolist():
-                for p in range(size - 1):
-                    yield np.full(size - 1 - p, own + p), own + np.arange(p + 1, size)
+            meets[np.ix_(own, own)] = True
+    step = max(1, most // n)
+    for lo in range(0, n, step):
+        x, y = np.nonzero(meets[lo : lo + step])
+        x += lo
+        yield x[x < y], y[x < y]
 
 
 def _bounded(a: np.ndarray, b: np.ndarray, ns: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
@@ -293,22 +309,24 @@ def _across(percent: int):
         def pairs(table: pa.Table) -> pa.RecordBatch:
             gid, doc, n, comp, block, i, j = (table.column(c).to_numpy() for c in ("gid", "doc_id", "n_shingles", "component", "block", "i", "j"))
             cut = np.flatnonzero(np.append(True, (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-            names, row, which = np.unique(doc, return_index=True, return_inverse=True)
-            keys, held_keys = [], 0
-            for p, q in _group_pairs(np.diff(np.append(cut, len(gid))), cut):
-                ok = (comp[p] != comp[q]) & (doc[p] != doc[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
-                ok &= (i[p] == j[p]) | (block[p] != block[q])
-                x, y = which[p[ok]], which[q[ok]]
-                keys.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
-                held_keys += len(keys[-1])
-                if held_keys > 4_000_000:
-                    keys = [np.unique(np.concatenate(keys))]
-                    held_keys = 0
-            key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-            x, y = key // max(1, len(names)), key % max(1, len(names))
-            few = table.column("sketch").take(pa.array(row)).to_pylist()
-            keep = _bounded(x, y, n[row], few, percent)
-            return pa.RecordBatch.from_arrays([pa.array(names[x[keep]]), pa.array(names[y[keep]])], ["a", "b"])
+            ends = np.append(cut[1:], len(gid))
+            left, right = [], []
+            lo = 0
+            while lo < len(cut):
+                hi = max(lo + 1, int(np.searchsorted(ends, cut[lo] + 2 * BLOCK, "right")))
+                at = slice(int(cut[lo]), int(ends[hi - 1]))
+                names, row, which = np.unique(doc[at], return_index=True, return_inverse=True)
+                row += at.start
+                few = table.column("sketch").take(pa.array(row)).to_pylist()
+                cs, ns = comp[row], n[row]
+                for x, y in _met(which, cut[lo:hi] - at.start, ends[lo:hi] - at.start, np.where(i == j, 0, block - i)[at], len(names)):
+                    ok = (cs[x] != cs[y]) & (100 * np.minimum(ns[x], ns[y]) >= percent * np.maximum(ns[x], ns[y]))
+                    x, y = x[ok], y[ok]
+                    keep = _bounded(x, y, ns, few, percent)
+                    left.append(names[x[keep]])
+                    right.append(names[y[keep]])
+                lo = hi
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], ["a", "b"])
 
         held = None
         for b in batches:
