@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard_join as _jaccard
-from . import language_id, materialise_tokens, mixing, packing, pii, quality_rules, substring_dedup, topk_search, warc
+from . import language_id, materialise_tokens, mixing, packing, pii, quality_rules, sql, substring_dedup, topk_search, warc
 from .tables import table
 
 
@@ -62,4 +62,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_jaccard_join": sql.JACCARD,
+        "op6_quality_rules": sql.QUALITY.format(host_rate=quality_rules.HOST_RATE),
+        "op7_warc": sql.WARC,
+        "op9_substring_dedup": sql.SUBSTRINGS,
+        "op10_exact_topk": sql.TOPK,
+    }
