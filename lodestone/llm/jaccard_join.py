@@ -44,6 +44,8 @@ _ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 SEEDS = 64
 #: members of a group that are compared in one block, and rows sent to the driver's broadcast at most
 BLOCK, BROADCAST_ROWS = 4096, 1_000_000
+#: pairs that a task remembers, lest it gives them twice; beyond it starts anew and a later distinct() does the rest
+GIVEN = 500_000
 
 
 class Sizes:
@@ -302,10 +304,13 @@ def _bounded(a: np.ndarray, b: np.ndarray, ns: np.ndarray, sketches: list[bytes]
 def _across(percent: int):
     """Of groups in order: the pairs of documents of different components that may link, each once a batch.
 
-    Groups of one first member come to one task, and these mostly hold the same pairs.
+    Groups of one first member come to one task, and these mostly hold the same pairs; a pair that
+    the task has given lately isn't given again.
     """
 
     def run(batches):
+        given: set[tuple[int, int]] = set()
+
         def pairs(table: pa.Table) -> pa.RecordBatch:
             gid, doc, n, comp, block, i, j = (table.column(c).to_numpy() for c in ("gid", "doc_id", "n_shingles", "component", "block", "i", "j"))
             cut = np.flatnonzero(np.append(True, (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
@@ -326,7 +331,11 @@ def _across(percent: int):
                     left.append(names[x[keep]])
                     right.append(names[y[keep]])
                 lo = hi
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], ["a", "b"])
+            new = set(zip(np.concatenate(left).tolist(), np.concatenate(right).tolist(), strict=True)) - given
+            if len(given) > GIVEN:
+                given.clear()
+            given.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], ["a", "b"])
 
         held = None
         for b in batches:
