@@ -1,8 +1,9 @@
 """A training corpus from ``documents``: five stages, each stored as Parquet and read again as the next one's input.
 
 Quality rules drop documents that they reject; of each group of near copies the document of least id
-stays; personal data is masked; sources are mixed to target weights, which orders the rows; the last
-stage packs the texts into sequences and returns the pieces.
+stays; personal data is masked; sources are mixed to target weights, which gives each document its
+place; the last stage packs the texts into sequences in the order of these places and returns the
+pieces. Sequences in the order of their numbers follow the mix.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+    return mixing.mix_documents(docs, position="mix_position")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(docs)
+    return packing.best_fit_packing(docs, order="mix_position")
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("PII", personal_data), ("mixing sources", source_mix), ("best-fit packing", pack)]

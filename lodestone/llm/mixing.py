@@ -86,10 +86,14 @@ def mixing_order(docs: DataFrame, weight: Column | None = None, block: int = BLO
     return out.select(*(keep or ["doc_id", "source"]), "block", "slot", (F.col("base") + F.col("in_block")).alias("position"))
 
 
-def mix_documents(docs: DataFrame, weight: Column | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
-    """The documents with their own columns, in mixed order: range partitions of positions, sorted within."""
+def mix_documents(docs: DataFrame, weight: Column | None = None, block: int = BLOCK, frame: int = FRAME, position: str | None = None) -> DataFrame:
+    """The documents with their own columns, in mixed order: range partitions of positions, sorted within.
+
+    ``position`` names a further column for each document's place in the mix, which later steps can follow.
+    """
     names = docs.columns
     packed = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     order = mixing_order(packed, weight, block, frame, keep=["doc_id", "source", "row"])
     laid = order.repartitionByRange("position").sortWithinPartitions("position")
-    return laid.select(*[F.col("row").getField(c).alias(c) for c in names])
+    place = [F.col("position").cast("long").alias(position)] if position else []
+    return laid.select(*[F.col("row").getField(c).alias(c) for c in names], *place)

@@ -9,6 +9,11 @@ end are the pieces of the next round, with an eighth of the tasks, until one tas
 one task's bins stay unfilled. Pieces are dealt to tasks by a hash of the document, so each sees the
 corpus's mix of lengths. Only lengths move in these rounds, never texts or ids.
 
+Where the documents have an order (a column of places from 0, each given once), tasks get contiguous
+ranges of places instead and take their pieces in that order; a round joins neighbouring tasks' bins.
+A sequence then begins with its piece of least place and is numbered by it, so sequences in the
+order of their numbers follow the documents' order.
+
 Defined cases: a null or empty text is the one id that ends a document; rows that repeat are packed
 each; a null doc_id is kept as null; other columns are ignored; an empty table gives no piece.
 """
@@ -29,6 +34,8 @@ from .words import runs
 
 CAPACITY, OPEN_BINS, END_ID = 4096, 512, 1
 ROWS = 512
+#: a document of 2 GB has fewer pieces of 64 ids or more
+PIECE_BITS = 25
 
 
 class BestFit:
@@ -73,8 +80,8 @@ class BestFit:
                 yield name, self.capacity - free
 
 
-def token_pieces(path: str, capacity: int, end_id: int):
-    """Rows (doc_id, piece, start, length, ids_crc32) of a batch of documents."""
+def token_pieces(path: str, capacity: int, end_id: int, order: str | None = None):
+    """Rows (doc_id, piece, start, length, ids_crc32) of a batch of documents, and their place if there is an order."""
 
     def run(batches):
         for b in runs(batches, ROWS):
@@ -90,16 +97,17 @@ def token_pieces(path: str, capacity: int, end_id: int):
                     start.append(at)
                     length.append(len(cut) // 4)
                     crc.append(zlib.crc32(cut))
+            took = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                [b.column("doc_id").take(took), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([b.column(order).take(took)] if order else [])],
+                ["doc_id", "piece", "start", "length", "ids_crc32", *([order] if order else [])],
             )
 
     return run
 
 
 def _pack(capacity: int, open_bins: int):
-    """Adds bin, at and state to the rows of one task: bins are numbered within it."""
+    """Adds bin, at, the bin's first deal, and state to the rows of one task: bins are numbered within it."""
 
     def run(table: pa.Table) -> pa.Table:
         fit = BestFit(capacity, open_bins)
@@ -109,30 +117,45 @@ def _pack(capacity: int, open_bins: int):
         filled = dict(fit.left_open())
         bins = np.array([p[0] for p in placed], np.int64)
         open_ = np.array([filled.get(p[0], 0) for p in placed], np.int64)
+        # bins are numbered as they are opened, so the first row of each is where its number first comes
+        first = table.column("deal").to_numpy()[np.unique(bins, return_index=True)[1]]
         out = table.append_column("bin", pa.array(bins)).append_column("at", pa.array([p[1] for p in placed], pa.int64()))
-        return out.append_column("open_length", pa.array(open_))
+        return out.append_column("first_deal", pa.array(first[bins], pa.int64())).append_column("open_length", pa.array(open_))
 
     return run
 
 
-def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, tasks: int | None = None) -> DataFrame:
-    """Adds sequence_id and offset to rows with a long column length between 1 and ``capacity``."""
+def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, tasks: int | None = None, order: str | None = None) -> DataFrame:
+    """Adds sequence_id and offset to rows with a long column length between 1 and ``capacity``.
+
+    ``order`` names a long column that packing follows; the result leaves it out.
+    """
     tasks = tasks or partitions(pieces.sparkSession)
-    names = pieces.columns
-    full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    rest = pieces.filter(F.col("length") < capacity).withColumn("deal", F.xxhash64("doc_id", *[c for c in names if c in ("piece", "ids_crc32")])).withColumn("task", F.pmod(F.shiftright("deal", 20), F.lit(tasks)).cast("int"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields) + ", bin long, at long, open_length long"
+    names = [c for c in pieces.columns if c != order]
     stride = 1 << 40
+    if order:
+        places = (pieces.agg(F.max(order)).first()[0] or 0) + 1
+        key = F.shiftleft(F.col(order), PIECE_BITS) + F.col("piece")
+        dealt_to = lambda n: F.expr(f"shiftright(deal, {PIECE_BITS}) * {n}L div {places}L").cast("int")
+        own_name = lambda ahead: F.col("first_deal")
+    else:
+        key = F.xxhash64("doc_id", *[c for c in names if c in ("piece", "ids_crc32")])
+        dealt_to = lambda n: F.pmod(F.shiftright("deal", 20), F.lit(n)).cast("int")
+        own_name = lambda ahead: F.lit(ahead * (1 << 56)) + F.col("task").cast("long") * stride + F.col("bin")
+    full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", key if order else -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(*names, "sequence_id", "offset")
+    rest = pieces.filter(F.col("length") < capacity).withColumn("deal", key).select(*names, "deal").withColumn("task", dealt_to(tasks))
+    added = "bin long, at long, first_deal long, open_length long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields) + f", {added}"
     first = rest.groupBy("task").applyInArrow(_pack(capacity, open_bins), schema)
-    first = materialise(first.withColumn("bin_id", F.col("task").cast("long") * stride + F.col("bin")).select(*names, "bin_id", "at", "open_length"), "packing-first")
+    first = materialise(first.withColumn("bin_id", own_name(0)).select(*names, "bin_id", "at", "open_length"), "packing-first")
     # bins left open are pieces of the next round; moves maps a round's bins to their places in the next
     moves, still, ahead = None, first.filter("open_length > 0").select("bin_id", F.col("open_length").alias("length")).distinct(), 1
     while tasks > 1:
         tasks = -(-tasks // 8)
         ahead += 1
-        dealt = still.withColumn("deal", F.xxhash64("bin_id")).withColumn("task", F.pmod(F.shiftright("deal", 20), F.lit(tasks)).cast("int"))
-        packed = dealt.groupBy("task").applyInArrow(_pack(capacity, open_bins), "bin_id long, length long, deal long, task int, bin long, at long, open_length long")
-        packed = packed.select("bin_id", (F.lit(ahead * (1 << 56)) + F.col("task").cast("long") * stride + F.col("bin")).alias("into"), "at", "open_length")
+        dealt = still.withColumn("deal", F.col("bin_id") if order else F.xxhash64("bin_id")).withColumn("task", dealt_to(tasks))
+        packed = dealt.groupBy("task").applyInArrow(_pack(capacity, open_bins), f"bin_id long, length long, deal long, task int, {added}")
+        packed = packed.select("bin_id", own_name(ahead).alias("into"), "at", "open_length")
         packed = materialise(packed, "packing-round")
         step = packed.select("bin_id", "into", F.col("at").alias("shift"))
         if moves is None:
@@ -145,13 +168,13 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = O
     if moves is not None:
         first = first.join(moves, "bin_id", "left").withColumn("bin_id", F.coalesce("into", "bin_id")).withColumn("at", F.col("at") + F.coalesce("shift", F.lit(0)))
     packed = first.select(*names, F.col("bin_id").alias("sequence_id"), F.col("at").alias("offset"))
-    # sequences of full pieces get negative numbers, those of bins positive ones
-    return packed.unionByName(full.withColumn("sequence_id", -1 - F.col("sequence_id")))
+    # without an order, sequences of full pieces get negative numbers, those of bins positive ones
+    return packed.unionByName(full)
 
 
-def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_ID) -> DataFrame:
+def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_ID, order: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
     kind = dict(docs.dtypes)["doc_id"]
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    pieces = texts.mapInArrow(token_pieces(path or default_path(), capacity, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
-    return pack_lengths(materialise(pieces, "packing-pieces"), capacity, open_bins)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *([order] if order else []))
+    pieces = texts.mapInArrow(token_pieces(path or default_path(), capacity, end_id, order), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (f", `{order}` long" if order else ""))
+    return pack_lengths(materialise(pieces, "packing-pieces"), capacity, open_bins, order=order)
