@@ -321,6 +321,19 @@ def test_exact_topk(spark):
     assert topk_search.exact_topk(big, every=4, scale=1).count() == 10
 
 
+def test_exact_topk_of_repeated_rows(spark):
+    """A best vector that one block holds more than k times takes one place."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * 0.2]) for i in range(60)]
+    # the query's last component is 0, so the vectors of 2000 differ and score the same
+    rows[0][1][-1] = 0.0
+    twice = [2 * x for x in rows[0][1]]
+    rows += [(1000, twice)] * 12 + [(1001, twice)] + [rows[0]] * 3 + [(2000, [1.5 * x for x in rows[0][1][:-1]] + [j / 8]) for j in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    for candidates in (16, 8192):
+        assert sorted(map(tuple, topk_search.exact_topk(df, every=30, candidates=candidates, dims=4).collect())) == brute_topk(rows, 5, 30)
+
+
 def test_language_id(spark):
     words = {"en": "the of and that with this for was from have", "de": "der die und nicht mit auf für eine ist werden", "fr": "le les des une dans pour est qui avec être", "es": "los las una que por para con está pero años"}
     rng = __import__("random").Random(2)
