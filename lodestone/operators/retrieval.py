@@ -62,14 +62,17 @@ def search(rows: DataFrame, query: Sequence[float], top_k: int = 5, score_thresh
 
 
 def search_batch(rows: DataFrame, queries: DataFrame, top_k: int = 5, key: str = "chunk_id", embedding: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """(query_id, rank, key, score) for a table of queries, which is broadcast only below a checked number of rows."""
+    """(query_id, rank, key, score) for a table of queries; more than ``most_queries`` are dealt by a hash of their ids to blocks of about half as many, each broadcast on its own."""
     n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries; split them into calls of at most {most_queries}")
-    q = F.broadcast(queries.select("query_id", F.col(embedding).alias("_q")))
+    blocks = 1 if n <= most_queries else -(-2 * n // most_queries)
     score = F.aggregate(F.zip_with(F.col(embedding), F.col("_q"), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = rows.join(q).select("query_id", key, score.alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).filter(F.col("rank") <= top_k)
+    out = None
+    for k in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else queries
+        scored = rows.join(F.broadcast(own.select("query_id", F.col(embedding).alias("_q")))).select("query_id", key, score.alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).filter(F.col("rank") <= top_k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def build_context(hits: DataFrame, max_chunks: int = 3, max_tokens: int = MAX_CONTEXT_TOKENS, rank: str = "rank", source: str = "source_file", content: str = "content", by: list[str] | None = None) -> DataFrame:

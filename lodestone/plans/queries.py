@@ -138,6 +138,15 @@ def vector_search_batch(spark, d):
     return retrieval.search_batch(rows, asked, 5, key="vec_id").select("query_id", "vec_id", "rank")
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def vector_search_batch_whole(spark, d):
+    """Every row whose id is divisible by 20 against all rows."""
+    rows = _t(spark, d, "embeddings")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.search_batch(rows, asked, 5, key="vec_id").select("query_id", "vec_id", "rank")
+
+
 @query("""WITH h AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, '[Source ' || row_number() OVER (PARTITION BY lang ORDER BY doc_id) || ': ' || source || ']' || chr(10) || text || chr(10) AS t, source FROM documents),
  k AS (SELECT *, sum(length(t)) OVER (PARTITION BY lang ORDER BY n) AS total FROM h WHERE n <= 3)
  SELECT lang, string_agg(t, chr(10) ORDER BY n) AS context_text, CAST(max(total) AS BIGINT) AS total_length, string_agg(source, ',' ORDER BY n) AS sources FROM k WHERE total <= 8192 GROUP BY lang""")

@@ -84,6 +84,23 @@ def test_search_filters_after_and_before_the_limit(spark):
     assert retrieval.parse_filters("{bad") == {} and retrieval.parse_filters('{"a": "b"}') == {"a": "b"}
 
 
+def test_batch_search_in_blocks_of_queries(spark):
+    rows = spark.createDataFrame([(i, [float(i * 7 % 11), float(i * 5 % 13)]) for i in range(60)], "chunk_id int, embedding array<float>")
+    asked = rows.filter("chunk_id < 30").withColumnRenamed("chunk_id", "query_id")
+    want = sorted(map(tuple, retrieval.search_batch(rows, asked, 4).collect()))
+    assert len(want) == 30 * 4 and sorted(map(tuple, retrieval.search_batch(rows, asked, 4, most_queries=12).collect())) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_batch_search_takes_every_twentieth_row(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    want = con.execute(Q.SQL["vector_search_batch_whole"]).fetchall()
+    assert sorted(map(tuple, Q.vector_search_batch_whole(spark, SF).collect())) == sorted(want) and len(want) == 25 * 5
+
+
 def test_context_stops_at_the_first_overflow(spark):
     hits = spark.createDataFrame([(1, "x/a.txt", "a" * 10), (2, "b.txt", "b" * 500), (3, "c.txt", "c")], "rank int, source_file string, content string")
     row = retrieval.build_context(hits, 3, 60).first()
