@@ -368,8 +368,18 @@ def structured_pages(spark, d):
 
 @query("SELECT doc_id, 1 AS page, count(*) AS n_words FROM (SELECT doc_id, unnest(" + _WORDS + ") AS w FROM documents WHERE doc_id < 50) GROUP BY doc_id")
 def page_lines(spark, d):
+    return _page_words(_t(spark, d, "documents").filter("doc_id < 50"))
+
+
+@query()
+def page_lines_whole(spark, d):
+    """All documents; tested against brute force."""
+    return _page_words(_t(spark, d, "documents"))
+
+
+def _page_words(docs: DataFrame) -> DataFrame:
     """Words laid out in rows of ten, found again as lines; their words are counted."""
-    words = _t(spark, d, "documents").filter("doc_id < 50").select("doc_id", F.posexplode(T.words("text")).alias("i", "text"))
+    words = docs.select("doc_id", F.posexplode(T.words("text")).alias("i", "text"))
     boxes = words.select("doc_id", F.lit(1).alias("page"), F.lit(1e9).alias("page_height"), (F.floor(F.col("i") / 10) * 12.0 + 60).alias("top"), (F.floor(F.col("i") / 10) * 12.0 + 70).alias("bottom"), ((F.col("i") % 10) * 40.0).alias("x0"), ((F.col("i") % 10) * 40.0 + 38).alias("x1"), "text")
     return pdf.lines(boxes).groupBy("doc_id", "page").agg(F.sum(F.size(F.split("text", " "))).alias("n_words"))
 

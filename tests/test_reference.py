@@ -149,6 +149,12 @@ def test_page_lines(spark):
     assert all("Confidential" not in r.content for r in pdf.blocks(words).collect())
 
 
+def test_page_lines_of_every_document(spark, tmp_path):
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 37))) for i in range(40, 140)] + [(200, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, Q.page_lines_whole(spark, str(tmp_path)).collect())) == [(i, 1, i % 37) for i in range(40, 140) if i % 37]
+
+
 def test_pages_rank(spark):
     ranked, stats = pipelines.pages(spark.read.parquet(f"{SF}/pages.parquet"))
     rows = ranked.select("page_id", "content_quality_score").collect()
