@@ -123,10 +123,7 @@ def feature_sets(column: pa.Array, k: int):
     """For each row of a text column: its number and its sorted distinct shingle hashes."""
     for lo, scan in scans(column, lower=True):
         begin, hashes = scan.windows(k)
-        counts = np.diff(scan.first)
-        bounds = np.searchsorted(begin, scan.first)
-        short = np.flatnonzero((counts > 0) & (counts < k))
-        whole = dict(zip(short.tolist(), scan.spans(scan.first[short], scan.first[short + 1]), strict=True)) if len(short) else {}
+        bounds, whole = np.searchsorted(begin, scan.first), scan.shorter(k)
         for i in range(scan.n_rows):
             if i in whole:
                 yield lo + i, np.array([whole[i]], U)

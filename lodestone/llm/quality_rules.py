@@ -43,6 +43,10 @@ def repeated_words(scan: Scan, k: int) -> np.ndarray:
     order = np.lexsort((hashes, row))
     h, r = hashes[order], row[order]
     same = np.append(False, (h[1:] == h[:-1]) & (r[1:] == r[:-1]))
+    alike = np.flatnonzero(same)
+    if len(alike):  # the windows' words are compared too
+        place = np.arange(k)
+        same[alike] = (scan.hashes[begin[order[alike]][:, None] + place] == scan.hashes[begin[order[alike - 1]][:, None] + place]).all(axis=1)
     twice = same.copy()
     twice[:-1] |= same[1:]
     if not twice.any():

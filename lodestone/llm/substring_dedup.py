@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import partitions
-from .words import U, runs, scans
+from .words import U, chained, runs, scans
 
 K, M = 20, 8
 
@@ -55,8 +55,7 @@ def _packed(k: int, m: int, buckets: int):
                 begin, hashes, row = begin[keep], hashes[keep], row[keep]
                 if not len(begin):
                     continue
-                last = len(scan.starts) - m + 1
-                grams = scan.spans(np.arange(last), np.arange(m, last + m))
+                grams = chained(scan.hashes, m)
                 least = minimizers(grams, k - m + 1)[begin]
                 new = np.append(True, (least[1:] != least[:-1]) | (begin[1:] != begin[:-1] + 1) | (row[1:] != row[:-1]))
                 at = np.flatnonzero(new)

@@ -5,7 +5,7 @@ across ASCII white space, so a text's ids are those of its words in turn. Words
 (ASCII, and letters of Latin-1) are cut into pieces of letters, digits and symbols on their bytes;
 the distinct new pieces of a slice go through one vectorised byte-pair merge. Other words, and texts
 that hold a special token's string, go through the whole tokenizer. Pieces are cached by a 64-bit
-hash within a fixed bound.
+hash within a fixed bound, and a cached piece's bytes are compared before its ids are used.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from .words import _BYTE, _CHARS, U, mix, slices, utf8
+from .words import U, mix, slices, span_hashes, utf8
 
-CACHE_ENTRIES = 300_000
-SLICE_BYTES = 1 << 21
+CACHE_ENTRIES = 200_000
+SLICE_BYTES = 1 << 20
 #: fixed values: the split pattern and normalisers for which the cut into pieces below is right
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALISERS = ["NFC", "Replace", "Lowercase"]
@@ -160,7 +160,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, U)
-        self.at = self.size = np.zeros(0, np.int64)
+        self.at = self.size = self.byte_at = self.length = np.zeros(0, np.int64)
+        self.odd, self.bytes = np.zeros(0, bool), np.zeros(0, np.uint8)
         self.pool = np.zeros(0, np.int64)
 
     def _whole(self, text: str) -> list[int]:
@@ -199,11 +200,10 @@ class Encoder:
         if len(gap):  # white space follows the piece: its end is the next space
             spaces = np.flatnonzero(~solid)
             ends[gap] = spaces[np.searchsorted(spaces, starts[gap])]
-        up, down = _CHARS.get(n + 1)
-        sums = np.zeros(n + 1, U)
-        np.cumsum(_BYTE[low] * up[:n], dtype=U, out=sums[1:])
         is_odd = kind[starts] == _ODD
-        hashes = mix((sums[ends] - sums[starts]) * down[starts] + is_odd)
+        lengths = ends - starts
+        hashes = span_hashes(low, starts, ends)
+        hashes[is_odd] = ~hashes[is_odd]
         distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self._forget()
@@ -213,14 +213,39 @@ class Encoder:
         if new.any():
             self._learn(distinct[new], spot[new], starts[where[new]], ends[where[new]], is_odd[where[new]], data, low)
             spot = np.searchsorted(self.known, distinct)
-        sizes = self.size[spot][which]
-        ids = gather(self.pool, self.at[spot][which], sizes)
+        spot = spot[which]
+        at, sizes, pool = self.at[spot], self.size[spot], self.pool
+        wrong = self._others(low, starts, lengths, is_odd, spot)
+        if len(wrong):
+            own = [self._piece(low[starts[i] : ends[i]], data[starts[i] : ends[i]], bool(is_odd[i])) for i in wrong.tolist()]
+            sizes[wrong] = [len(x) for x in own]
+            at[wrong] = len(pool) + np.cumsum(sizes[wrong]) - sizes[wrong]
+            pool = np.concatenate([pool, *own])
+        ids = gather(pool, at, sizes)
         before = np.concatenate(([0], np.cumsum(sizes)))
         return ids, np.diff(before[np.searchsorted(starts, rows)])
 
+    def _others(self, low, starts, lengths, odd, spot) -> np.ndarray:
+        """The pieces whose bytes are not those of the cached piece of their hash.
+
+        The hash of spans of one length up to eight bytes is a bijection, so only longer ones are compared.
+        """
+        wrong = (lengths != self.length[spot]) | (odd != self.odd[spot])
+        long = np.flatnonzero(~wrong & (lengths > 8))
+        if len(long):
+            size = lengths[long]
+            differ = gather(low, starts[long], size) != gather(self.bytes, self.byte_at[spot[long]], size)
+            wrong[long] = np.add.reduceat(differ, np.cumsum(size) - size) > 0
+        return np.flatnonzero(wrong)
+
+    def _piece(self, low, data, odd: bool) -> np.ndarray:
+        if odd:
+            return np.array(self._whole(data.tobytes().decode()), np.int64)
+        return self.merger.encode(low, np.array([len(low)]))[0]
+
     def _learn(self, hashes, spots, starts, ends, odd, data, low) -> None:
-        sizes = np.zeros(len(hashes), np.int64)
-        ids, sizes[~odd] = self.merger.encode(gather(low, starts[~odd], (ends - starts)[~odd]), (ends - starts)[~odd])
+        sizes, lengths = np.zeros(len(hashes), np.int64), ends - starts
+        ids, sizes[~odd] = self.merger.encode(gather(low, starts[~odd], lengths[~odd]), lengths[~odd])
         parts, at = [ids], np.cumsum(np.where(odd, 0, sizes)) - np.where(odd, 0, sizes)
         total = len(ids)
         for i in np.flatnonzero(odd).tolist():
@@ -230,9 +255,11 @@ class Encoder:
             total += len(own)
         at = at + len(self.pool)
         self.pool = np.concatenate([self.pool, *parts])
+        byte_at = len(self.bytes) + np.cumsum(lengths) - lengths
+        self.bytes = np.concatenate([self.bytes, gather(low, starts, lengths)])
         self.known = np.insert(self.known, spots, hashes)
-        self.at = np.insert(self.at, spots, at)
-        self.size = np.insert(self.size, spots, sizes)
+        for name, values in (("at", at), ("size", sizes), ("byte_at", byte_at), ("length", lengths), ("odd", odd)):
+            setattr(self, name, np.insert(getattr(self, name), spots, values))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a string column's texts end to end, and n + 1 offsets; a null or empty text has none."""

@@ -1,5 +1,9 @@
 """Vectorised word scan: word bounds and 64-bit word hashes of whole batches of texts.
 
+Words are hashed by chained lanes of eight bytes and windows by chained word hashes, each step through
+a bijective finaliser, so no algebra of positions makes two texts collide. Where equality of hashes
+removes, links or encodes something, the operators compare the strings (or digests of them) as well.
+
 A word is a run of characters other than space and ``\\x09``-``\\x0D``. The scan works on the
 UTF-8 bytes of a slice of rows at a time, so memory follows the slice and the longest single text.
 A null text has no words.
@@ -7,15 +11,23 @@ A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+KEY = U(0x5851F42D4C957F2D)
+#: bytes of a word up to which it is hashed by lanes of eight
+LONG = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,28 +39,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = 1 << (n - 1).bit_length()
-            ups, downs = np.full(size, self.base, U), np.full(size, self.inverse, U)
-            ups[0] = downs[0] = 1
-            self.up, self.down = np.cumprod(ups, dtype=U), np.cumprod(downs, dtype=U)
-        return self.up[:n], self.down[:n]
-
-
-_CHARS, _WORDS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD1342543DE82EF95)
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the sequence of two hashes."""
+    return mix(a * U(0x9E3779B97F4A7C15) + (b ^ KEY))
+
+
+def chained(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the ``k`` values from each position on, by doubling; each step goes through ``mix``."""
+    n = len(values)
+    if n < k:
+        return np.zeros(0, U)
+    out, have, power, size = None, 0, values, 1
+    while size <= k:
+        if k & size:
+            m = n - have - size + 1
+            out, have = (power, size) if out is None else (joined(out[:m], power[have : have + m]), have + size)
+        if 2 * size <= k:
+            power = joined(power[: n - 2 * size + 1], power[size:])
+        size *= 2
+    return joined(out, np.full(1, k, U))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: chained over lanes of eight bytes, or BLAKE2 for long spans."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+    lengths = ends - starts
+    out = mix(lengths.astype(U) + KEY)
+    long = lengths > LONG
+    todo, at = (np.flatnonzero(~long) if long.any() else slice(None)), 0
+    while True:
+        left = lengths[todo] - at
+        out[todo] = mix(out[todo] ^ (lanes[starts[todo] + at] & _MASKS[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        todo, at = (more if isinstance(todo, slice) else todo[more]), at + 8
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 class Scan:
@@ -75,28 +105,25 @@ class Scan:
         self.first = np.searchsorted(self.starts, rows)
         self.n_rows = len(rows) - 1
         if hashed:
-            up, down = _CHARS.get(n + 1)
-            sums = np.zeros(n + 1, U)
-            np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:n], dtype=U, out=sums[1:])
-            self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
-            size = len(self.hashes)
-            wup, self._down = _WORDS.get(size + 1)
-            self._sums = np.zeros(size + 1, U)
-            np.cumsum(self.hashes * wup[:size], dtype=U, out=self._sums[1:])
-
-    def spans(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """A hash of each word sequence [lo, hi)."""
-        return mix((self._sums[hi] - self._sums[lo]) * self._down[lo] + (hi - lo).astype(U))
+            self.hashes = span_hashes(_LOWER[data] if lower else data, self.starts, self.ends)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts (word numbers of this scan) and hashes of all windows of ``k`` words within one row."""
-        counts = np.diff(self.first)
-        n = np.maximum(counts - k + 1, 0)
+        n = np.maximum(np.diff(self.first) - k + 1, 0)
         total = int(n.sum())
         if not total:
             return np.zeros(0, np.int64), np.zeros(0, U)
         begin = np.repeat(self.first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-        return begin, self.spans(begin, begin + k)
+        return begin, chained(self.hashes, k)[begin]
+
+    def shorter(self, k: int) -> dict[int, np.uint64]:
+        """A hash of the whole word sequence of each row of 1 to ``k`` - 1 words."""
+        counts, out = np.diff(self.first), {}
+        for size in range(1, k):
+            own = np.flatnonzero(counts == size)
+            if len(own):
+                out |= dict(zip(own.tolist(), chained(self.hashes, size)[self.first[own]], strict=True))
+        return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +156,23 @@ def scans(column: pa.Array, lower: bool = False, hashed: bool = True) -> Iterato
         yield lo, Scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, hashed)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a reused worker doesn't keep a task's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def runs(batches, most_rows: int = 1024, most_bytes: int = 4 << 20):
     """The batches in runs of few rows and bytes, so that what is made of a run stays small; a longer text is a run."""
-    for b in batches:
-        at = b.schema.get_field_index("text")
-        _, offsets = utf8(b.column(at)) if b.num_rows else (None, np.zeros(1, np.int64))
-        for lo, hi in slices(offsets, most_bytes):
-            for i in range(lo, hi, most_rows):
-                yield b.slice(i, min(most_rows, hi - i))
+    try:
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            _, offsets = utf8(b.column(at)) if b.num_rows else (None, np.zeros(1, np.int64))
+            for lo, hi in slices(offsets, most_bytes):
+                for i in range(lo, hi, most_rows):
+                    yield b.slice(i, min(most_rows, hi - i))
+    finally:
+        release()

@@ -374,3 +374,40 @@ def test_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.jaccard_join(df).collect()) == [(0, 0), (0, 0), (1, 1)]
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.substring_dedup(df).collect()) == [(0, 0), (0, 0), (1, 0)]
     assert mixing.mixing_order(df).count() == packing.best_fit_packing(df).count() == 3
+
+
+def thue_morse(n, a="a", b="b"):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out
+
+
+def test_words_of_mirrored_letters_are_told_apart(spark):
+    """Words, and word sequences, that position-weighted sums confuse."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(tokens.default_path())
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    ids, offsets = tokens.Encoder(tokens.default_path()).encode(pa.array([one, two, one], pa.string()))
+    assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(3)] == [full.encode(t, add_special_tokens=False).ids for t in (one, two, one)]
+    texts = [one, two, one + " x", " ".join(thue_morse(64)), " ".join(thue_morse(64, "b", "a")), " ".join([one] * 10 + [two] * 10), " ".join([two] * 10 + [one] * 10)]
+    rows = [(i, t, None, "s", None, "h", "k", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id: ([r.n_shingles], r.component_id) for r in jaccard_join.jaccard_join(docs).collect()} == components(rows)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(docs).collect()) == kept_words(rows)
+    assert Counter(tuple(r[:7]) for r in quality_rules.quality_rules(docs).collect()) == Counter((r[0], *quality_of(r[1])) for r in rows)
+
+
+def test_a_cached_piece_of_the_same_hash_is_not_taken(monkeypatch):
+    """With a hash that knows lengths alone, every piece still gets its own ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) + (data[starts].astype(np.uint64) << np.uint64(8)) * (ends - starts <= 8))
+    full, rng = Tokenizer.from_file(tokens.default_path()), np.random.default_rng(1)
+    texts = [" ".join("".join(rng.choice(list("abcé"), rng.integers(9, 14))) for _ in range(20)) for _ in range(30)]
+    ids, offsets = tokens.Encoder(tokens.default_path()).encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == full.encode(t, add_special_tokens=False).ids
