@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from .words import U, mix, slices, span_hashes, utf8
+from .words import U, gather, slices, span_hashes, utf8
 
 CACHE_ENTRIES = 200_000
 SLICE_BYTES = 1 << 20
@@ -34,12 +34,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The spans [start, start + length) of ``pool``, end to end."""
-    shift = starts - (np.cumsum(lengths) - lengths)
-    return pool[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
-
-
 class PairMerger:
     """Byte-pair merges of many pieces at once.
 

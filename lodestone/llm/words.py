@@ -107,14 +107,18 @@ class Scan:
         if hashed:
             self.hashes = span_hashes(_LOWER[data] if lower else data, self.starts, self.ends)
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts (word numbers of this scan) and hashes of all windows of ``k`` words within one row."""
+    def begins(self, k: int) -> np.ndarray:
+        """First word (numbered in this scan) of every window of ``k`` words within one row."""
         n = np.maximum(np.diff(self.first) - k + 1, 0)
         total = int(n.sum())
         if not total:
-            return np.zeros(0, np.int64), np.zeros(0, U)
-        begin = np.repeat(self.first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-        return begin, chained(self.hashes, k)[begin]
+            return np.zeros(0, np.int64)
+        return np.repeat(self.first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
+
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``begins(k)``, and a hash of each window."""
+        begin = self.begins(k)
+        return begin, chained(self.hashes, k)[begin] if len(begin) else np.zeros(0, U)
 
     def shorter(self, k: int) -> dict[int, np.uint64]:
         """A hash of the whole word sequence of each row of 1 to ``k`` - 1 words."""
@@ -126,6 +130,12 @@ class Scan:
         return out
 
 
+def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The spans [start, start + length) of ``pool``, end to end."""
+    shift = starts - (np.cumsum(lengths) - lengths)
+    return pool[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; nulls are empty."""
     if column.null_count:

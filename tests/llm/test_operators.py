@@ -411,3 +411,32 @@ def test_a_cached_piece_of_the_same_hash_is_not_taken(monkeypatch):
     ids, offsets = tokens.Encoder(tokens.default_path()).encode(pa.array(texts, pa.string()))
     for i, t in enumerate(texts):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == full.encode(t, add_special_tokens=False).ids
+
+
+def test_edges_of_one_hash_are_told_apart_by_words(monkeypatch):
+    """A bucket whose hash has two values removes no window that differs from its source."""
+    import pyarrow as pa
+
+    class Coarse(substring_dedup.Scan):
+        def windows(self, k):
+            begin, code = super().windows(k)
+            return begin, code & np.uint64(1)
+
+    monkeypatch.setattr(substring_dedup, "Scan", Coarse)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["x", "y", "zz"], 30)) for _ in range(6)]
+    texts += [texts[1], "q " + texts[2]]
+    n = [len(t.split()) - 3 for t in texts]
+    table = pa.table({"bucket": [0] * 8, "doc_id": list(range(8)), "rid": [1] * 8, "start": [0] * 8, "n": n, "words": texts})
+    found = substring_dedup._paths(4)(table).to_pylist()
+    removed = Counter()
+    for d in range(8):
+        removed[d] = len({i for r in found if r["doc_id"] == d for i in range(r["start"], r["stop"] + 3)})
+    assert removed == Counter({r[0]: r[2] for r in kept_words([(i, t) for i, t in enumerate(texts)], 4)})
+
+
+def test_rows_of_one_id_are_cut_by_their_own_texts(spark):
+    long_text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, long_text), (1, "x y " + long_text), (1, long_text), (1, "short"), (2, long_text + " z")]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found) == kept_words(rows)
