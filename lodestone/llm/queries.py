@@ -31,7 +31,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = materialise_tokens.write_shards(table(spark, sf_dir, "documents"))
     back = materialise_tokens.read_shards(manifest)
-    return manifest.drop("file", "ids_crc32").join(back, "slot")
+    return manifest.drop("file", "ids_crc32", "n_bytes").join(back, "slot")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
