@@ -1,18 +1,23 @@
 """Personal data: exact base patterns, and a semi-Markov conditional random field for other forms.
 
-Base spans are found over whole texts, leftmost and without overlap for each kind, and always stay.
-The field adds spans in forms that the patterns don't know, such as a phone number without a plus
-sign, a card number with other separators, or an address with a spelt-out at sign. It scores
-candidate segments of up to ``LONGEST`` tokens as wholes: number of digits, grouping, separators,
-check digit, ranges and what touches the ends. A dynamic program over the tokens, bounded by that
-length, chooses boundaries and kinds together. A segment without a digit run or an at sign can't be
-an entity, so the program runs on the regions about these only, with the same result.
+Base spans are found over whole texts, leftmost and without overlap for each kind, by scans that are
+linear in the text, and always stay. The field adds spans in forms that the patterns don't know: a
+phone number without a plus sign, a card number with other separators, an address with a spelt-out at
+sign, and a further kind, secrets (keys and tokens). It scores candidate segments of up to ``LONGEST``
+tokens and ``WIDEST`` characters as wholes: number of digits, grouping, separators, check digit,
+ranges, what touches the ends and, for secrets, what they are assigned to. A dynamic program over the
+tokens, bounded by that length, chooses boundaries and kinds together: the segmentation of largest
+score, where a segment scores the sum of its features' weights less ``MARGIN`` (a fixed offset that
+favours precision; a grouping or separator never seen in training weighs ``UNSEEN``) and text outside
+entities scores 0. A segment with neither seven digits, an at mark nor a long run of letters and digits
+is no candidate, so the program runs on the regions that can hold one, with the result of the whole.
 
 The field is trained here, by gradient steps on the likelihood of marked lines that ``examples``
-writes from a fixed seed, with look-alikes such as dates, prices, versions and keys among them.
+writes from a fixed seed, with look-alikes such as dates, prices, versions and identifiers among them.
 
 Defined cases: null and empty texts have no spans; offsets count code points, the end excluded; rows
-that repeat are read each; other columns are ignored by ``find_pii`` and kept by ``mask_pii``.
+that repeat are read each; other columns are ignored by ``find_pii`` and kept by ``mask_pii``; runs of
+digits or address characters may have any length.
 """
 
 from __future__ import annotations
@@ -28,8 +33,12 @@ from pyspark.sql import functions as F
 
 from .words import runs
 
-KINDS = ("email", "ip", "card", "phone")
-LONGEST, MARGIN = 16, 1.0
+#: kinds of the base patterns, and all kinds
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+LONGEST, WIDEST, MARGIN, UNSEEN = 16, 200, 1.0, -1.0
+#: a numeric candidate has at most so many digits and groups of them
+MOST_DIGITS, MOST_GROUPS = 20, 8
 
 # fixed values: the base patterns
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,13 +46,20 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_DOTTED = re.compile(r"[0-9][0-9.]*")
-_ADDRESS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGIT = re.compile(r"[0-9]")
-_NUMBER = re.compile(r"[+(]{0,2}[0-9](?:[\x20().\-/+]{0,3}[0-9])+")
-_AT = re.compile(r"@|[\[({<]\x20?(?:at|AT)\x20?[\])}>]")
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-_OBFUSCATED = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s?(?:@|[\[({<]\s?at\s?[\])}>])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({<]\s?dot\s?[\])}>])\s?[A-Za-z0-9-]+)+", re.I)
+_RUN = re.compile(r"[0-9]+")
+_ZONE = re.compile(r"[0-9+(](?:\s?[^\sA-Za-z])*+")
+_BRACED = r"[\[({<]\s?(?:at|AT)\s?[\])}>]"
+_SPELT = r"(?<=[A-Za-z0-9])\s(?:at|AT)\s(?=[A-Za-z0-9-]{1,60}\s(?:dot|DOT)\s[A-Za-z0-9])"
+_AT = re.compile(rf"@|{_BRACED}|{_SPELT}")
+_TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
+_DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|DOT)\s?[\])}>]\s?|\s(?:dot|DOT)\s)"
+_OBFUSCATED = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*+(?:\s?(?:@|{_BRACED})\s?|\s(?:at|AT)\s)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
+_KEY = re.compile(r"[A-Za-z0-9_+/=-]{20,}+")
+_NAMED = re.compile(r"(?:key|token|secret|passw(?:or)?d|pwd|auth|bearer|credential)s?\W{0,6}$", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -57,16 +73,32 @@ def luhn(digits: str) -> bool:
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
+    """An address needs a run of local characters right before its at sign and two labels right after it."""
     out, at, done = [], text.find("@"), 0
     while at >= 0:
-        lo, hi = at, at
-        while lo > done and text[lo - 1] in _ADDRESS:
+        lo = at
+        while lo > done and text[lo - 1] in _LOCAL:
             lo -= 1
-        while hi < len(text) and text[hi] in _ADDRESS:
-            hi += 1
-        out += [m.span() for m in EMAIL.finditer(text, lo, hi)]
-        done = hi
-        at = text.find("@", hi)
+        domain = _DOMAIN.match(text, at + 1) if lo < at else None
+        if domain:
+            out.append((lo, domain.end()))
+        done = domain.end() if domain else at + 1
+        at = text.find("@", at + 1)
+    return out
+
+
+def _ips(text: str) -> list[tuple[int, int]]:
+    """Runs of digits joined by single dots are taken by fours."""
+    out = []
+    for chain in _CHAIN.finditer(text):
+        if chain[0].count(".") > 2:
+            at, parts = chain.start(), chain[0].split(".")
+            for i in range(0, len(parts) - 3, 4):
+                four = parts[i : i + 4]
+                size = sum(map(len, four)) + 3
+                if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") < 256 for p in four):
+                    out.append((at, at + size))
+                at += size + 1
     return out
 
 
@@ -74,9 +106,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind and start."""
     out = [("email", *s) for s in _emails(text)]
     if _DIGIT.search(text):
-        for zone in _DOTTED.finditer(text):
-            if zone.end() - zone.start() > 6 and zone[0].count(".") > 2:
-                out += [("ip", *m.span()) for m in IP.finditer(text, *zone.span()) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+        out += [("ip", *s) for s in _ips(text)]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -89,14 +119,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Ranges of the text outside of which no segment can be an entity."""
+    """Ranges of the text that hold every candidate segment.
+
+    A numeric one lies in one zone without letters and wide gaps, a secret is a maximal run, and one with
+    an at mark reaches no further than ``WIDEST`` from it.
+    """
     found = []
     if _DIGIT.search(text):
-        for m in _NUMBER.finditer(text):
-            if m.end() - m.start() >= 7 and sum("0" <= c <= "9" for c in m[0]) >= 7:
+        for m in _ZONE.finditer(text):
+            if m.end() - m.start() >= 7 and len(_DIGIT.findall(m[0])) >= 7:
                 found.append(m.span())
+        found += [m.span() for m in _KEY.finditer(text) if _is_key(m[0])]
     for m in _AT.finditer(text):
-        found.append((max(0, m.start() - 80), min(len(text), m.end() + 120)))
+        found.append((max(0, m.start() - WIDEST), min(len(text), m.end() + WIDEST)))
     found.sort()
     out: list[tuple[int, int]] = []
     for lo, hi in found:
@@ -107,26 +142,40 @@ def regions(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _is_key(s: str) -> bool:
+    return 20 <= len(s) <= WIDEST and bool(_DIGIT.search(s)) and any(c.isalpha() for c in s)
+
+
 def span_features(text: str, lo: int, hi: int) -> list[str]:
     """What the field sees of a segment as a whole."""
     s = text[lo:hi]
-    groups = re.findall(r"[0-9]+", s)
+    groups = _RUN.findall(s)
     digits = "".join(groups)
     n = len(digits)
     before, after = text[max(0, lo - 1) : lo], text[hi : hi + 1]
     out = ["bias"]
-    if "@" in s or re.search(r"[\[({<]\s?at\s?[\])}>]", s, re.I):
+    if _AT.search(s):
         out.append("address" if _OBFUSCATED.fullmatch(s) else "at")
         out.append("top:alpha" if re.search(r"[A-Za-z]{2,}$", s) else "top:other")
+        if re.search(_SPELT, s):
+            out.append("spelt")
+    elif _KEY.fullmatch(s):
+        out.append("key")
+        out.append("key:long" if len(s) >= 32 else "key:short")
+        out.append("key:digits" if 10 * n >= len(s) else "key:few-digits")
+        out.append("key:hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) else "key:words" if re.search(r"[A-Za-z]{9,}", s) else "key:mixed")
+        out.append("named" if _NAMED.search(text[max(0, lo - 24) : lo]) else "unnamed")
     else:
         out.append("letters" if re.search(r"[^\W\d_]", s) else f"n:{min(n, 20) if n < 13 else '13-15' if n < 16 else '16-19' if n < 20 else 'more'}")
         out.append("shape:" + "-".join(map(str, map(len, groups))) if len(groups) < 6 else "shape:many")
         seps = {c for c in s if not c.isdigit()} - set("+()")
         out.append("seps:" + "".join(sorted(seps)))
-        out.append("luhn" if n >= 13 and luhn(digits) else "no-luhn")
+        out.append("luhn" if 13 <= n < 20 and luhn(digits) else "no-luhn")
         out.append("octets" if len(groups) == 4 and all(len(g) < 4 and int(g) < 256 for g in groups) else "no-octets")
         if s[:1] == "+":
             out.append("plus")
+        if re.match(r"00[1-9]", s):
+            out.append("double-zero")
         if "(" in s and ")" in s:
             out.append("area")
         if ("(" in s) != (")" in s):
@@ -141,28 +190,41 @@ def span_features(text: str, lo: int, hi: int) -> list[str]:
 def segments(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
     """Tokens of a region, and its candidate segments (first token, last + 1, features)."""
     tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
-    out = []
-    for i, (a, _) in enumerate(tokens):
+    marks = [m.span() for m in _AT.finditer(text, lo, hi)]
+    keys = {m.start(): m.end() for m in _KEY.finditer(text, lo, hi) if _is_key(m[0])}
+    digits = [len(_DIGIT.findall(text, a, min(z, a + WIDEST))) for a, z in tokens]
+    numeric = [text[a].isdecimal() and n == z - a if text[a].isalnum() else not text[a].isalpha() for (a, z), n in zip(tokens, digits, strict=True)]
+    out, mark = [], 0
+    for i, (a, z) in enumerate(tokens):
         c = text[a]
-        if not (c.isalnum() or c in "+("):
+        if a in keys:
+            j = next((j for j in range(i, min(len(tokens), i + WIDEST)) if tokens[j][1] >= keys[a]), i)
+            if tokens[j][1] == keys[a]:
+                out.append((i, j + 1, span_features(text, a, keys[a])))
+        while mark < len(marks) and marks[mark][1] <= a:
+            mark += 1
+        near = mark < len(marks) and marks[mark][1] <= a + WIDEST and c.isalnum()
+        plain = numeric[i] and (c.isalnum() or c in "+(")
+        if not near and not plain:
             continue
-        numeric = not c.isalpha()
+        n = groups = 0
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-            z = tokens[j - 1][1]
-            if j > i + 1 and tokens[j - 1][0] - tokens[j - 2][1] > 1:
+            start, end = tokens[j - 1]
+            if end - a > WIDEST or j > i + 1 and start - tokens[j - 2][1] > 1:
                 break
-            s = text[a:z]
-            last = s[-1]
-            if numeric and last.isalpha():
-                numeric = False
+            n += digits[j - 1]
+            groups += digits[j - 1] > 0
+            plain = plain and numeric[j - 1] and n <= MOST_DIGITS and groups <= MOST_GROUPS
+            last = text[end - 1]
             if not (last.isalnum() or last == ")"):
                 continue
-            marked = "@" in s or "at" in s.lower() and _AT.search(s)
-            if marked:
-                if _OBFUSCATED.fullmatch(s):
-                    out.append((i, j, span_features(text, a, z)))
-            elif numeric and sum("0" <= x <= "9" for x in s) >= 7:
-                out.append((i, j, span_features(text, a, z)))
+            if near and marks[mark][1] < end:
+                if _OBFUSCATED.fullmatch(text, a, end):
+                    out.append((i, j, span_features(text, a, end)))
+            elif plain and n >= 7:
+                out.append((i, j, span_features(text, a, end)))
+            if not near and not plain:
+                break
     return tokens, out
 
 
@@ -171,22 +233,27 @@ class Field:
 
     def __init__(self):
         self.w: dict[tuple[str, str], float] = {}
+        self.best: dict[tuple[str, ...], tuple[str, float]] = {}
 
     def score(self, kind: str, features: list[str]) -> float:
         w = self.w
-        return sum(w.get((kind, f), -1.0 if f.startswith(("shape:", "seps:")) else 0.0) for f in features)
+        return sum(w.get((kind, f), UNSEEN if f.startswith(("shape:", "seps:")) else 0.0) for f in features)
 
     def decode(self, text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
-        """The best segmentation's entities whose score exceeds the margin."""
+        """The entities of the segmentation of largest score."""
         tokens, found = segments(text, lo, hi)
         if not found:
             return []
         ending: dict[int, list] = {}
         for i, j, features in found:
-            for kind in KINDS:
-                s = self.score(kind, features)
-                if s > MARGIN:
-                    ending.setdefault(j, []).append((i, kind, s))
+            key = tuple(features)
+            known = self.best.get(key)
+            if known is None:
+                if len(self.best) > 20_000:
+                    self.best.clear()
+                known = self.best[key] = max(((k, self.score(k, features) - MARGIN) for k in KINDS), key=lambda x: x[1])
+            if known[1] > 0:
+                ending.setdefault(j, []).append((i, *known))
         best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
         for j in range(1, len(tokens) + 1):
             best[j] = best[j - 1]
@@ -233,6 +300,7 @@ class Field:
                             k = (kind, f)
                             old = self.w.get(k, 0.0)
                             self.w[k] = old + step * (slope - decay * old)
+        self.best.clear()
         return self
 
 
@@ -256,13 +324,16 @@ def examples(n: int = 700, seed: int = 5) -> list[tuple[str, list[tuple[str, int
         a, b, c = num(3), num(3), num(4)
         kind = rng.choice(KINDS)
         if kind == "email":
-            at, dot = rng.choice([("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "."), (" [at] ", "."), (" @ ", ".")])
+            at, dot = rng.choice([("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "."), (" [at] ", "."), (" @ ", "."), (" at ", " dot ")])
             return kind, word() + rng.choice(["", "." + word(), num(2)]) + at + word() + dot + rng.choice(["com", "org", "net", "de", "example.com"])
         if kind == "ip":
             return kind, ".".join(str(rng.randint(0, 255)) for _ in range(4))
         if kind == "card":
             return kind, card(rng.choice(["", " ", "-", ".", "/"]))
-        return kind, rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+49 {a} {num(7)}", f"1-{a}-{b}-{c}", f"+{num(11)}", f"({a}){b}-{c}"])
+        if kind == "secret":
+            alphabet = rng.choice(["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-"])
+            return kind, "A1" + "".join(rng.choice(alphabet) for _ in range(rng.choice([18, 22, 30, 38, 62]))) + "b2"
+        return kind, rng.choice([f"00{num(2)} {num(2)} {num(7)}".replace("000", "001"), f"0049 {num(3)} {num(7)}", f"0033 {num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+49 {a} {num(7)}", f"1-{a}-{b}-{c}", f"+{num(11)}", f"({a}){b}-{c}"])
 
     def other() -> str:
         return rng.choice([
@@ -270,6 +341,7 @@ def examples(n: int = 700, seed: int = 5) -> list[tuple[str, list[tuple[str, int
             f"{num(3)},{num(3)},{num(3)}", f"{num(2)}.{num(8)}", f"{num(1)}.{num(2)}.{num(3)}.{num(4)}.{num(2)}", f"{num(4)}/{num(2)}/{num(2)}", f"{num(4)}-{num(4)}", f"{num(4)} {num(4)}",
             f"{num(5)} {num(5)} {num(5)}", f"{num(4)} {num(4)} {num(4)}", f"978-{num(1)}-{num(3)}-{num(5)}-{num(1)}", f"{num(5)}-{num(4)}", f"{word()}{num(8)}", f"{num(8)}{word()}", f"{num(2)}:{num(2)}:{num(2)}", f"#{num(10)}", f"${num(7)}", f"{num(4)} {num(2)} {num(2)}",
             f"@{word()}", f"{word()}@{word()}", f"{num(2)} {num(2)} {num(2)} {num(2)}", f"{num(3)} {num(5)}", f"{num(6)}-{num(6)}",
+            f"{word()} at {word()}", f"{word()} at {word()} dot", f"{word()}-{word()}-{word()}-{word()}-{num(4)}", f"{word()}_{word()}_{word()}_{word()}{num(2)}", f"/{word()}/{word()}/{word()}/{word()}{num(1)}", "=" * 20 + num(2), f"{word()}/{num(4)}/{num(2)}/{word()}-{word()}-{word()}",
         ])
 
     out = []
@@ -279,6 +351,9 @@ def examples(n: int = 700, seed: int = 5) -> list[tuple[str, list[tuple[str, int
             text += " ".join(word() for _ in range(rng.randint(2, 4))) + rng.choice([" ", ": ", ", "])
             if rng.random() < 0.5:
                 kind, s = entity()
+                if kind == "secret":
+                    name, quote = rng.choice(["key", "token", "api_key", "secret", "password", "Authorization: Bearer", "AUTH_TOKEN"]), rng.choice(["", '"', "'"])
+                    text += name + rng.choice([" = ", "=", ": ", " "]) + quote
                 gold.append((kind, len(text), len(text) + len(s)))
             else:
                 s = other()
@@ -313,23 +388,24 @@ def _written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans): base counts, base spans and all spans as kind:start:end."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans, n_spans): base counts, base spans and all spans as kind:start:end, and their number."""
     shared = docs.sparkSession.sparkContext.broadcast(field or trained())
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for b in runs(batches):
-            counts, base_text, spans = {k: [] for k in KINDS}, [], []
+            counts, base_text, spans, n = {k: [] for k in BASE_KINDS}, [], [], []
             for text in b.column("text").to_pylist():
                 base, more = all_spans(text, shared.value)
-                for k in KINDS:
+                for k in BASE_KINDS:
                     counts[k].append(sum(s[0] == k for s in base))
                 base_text.append(_written(base))
                 spans.append(_written(base + more))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(base_text, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"])
+                n.append(len(base) + len(more))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in BASE_KINDS), pa.array(base_text, pa.string()), pa.array(spans, pa.string()), pa.array(n, pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base", "spans", "n_spans"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return texts.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_spans long")
 
 
 def masked(text: str | None, field: Field) -> str | None:

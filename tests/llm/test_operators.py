@@ -238,30 +238,97 @@ def test_mixing_targets(docs):
 
 
 def test_pii_base_patterns():
-    text = "é a.b+c@x-y.co.uk, u@h @x 1.2.3.4.5 256.1.1.1 4111 1111 1111 1111 4111111111111112 +1 (743) 555-3824 +12 0010.2.3.4"
+    text = "é a.b+c@x-y.co.uk, u@h @x 1.2.3.4.5 256.1.1.1, 4111 1111 1111 1111, 4111111111111112 +1 (743) 555-3824, 0010.2.3.4"
     spans = [(k, text[a:z]) for k, a, z in pii.base_spans(text)]
-    assert spans == [("email", "a.b+c@x-y.co.uk"), ("ip", "1.2.3.4"), ("ip", "0010.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (743) 555-3824")] or spans[:2] == [("email", "a.b+c@x-y.co.uk"), ("ip", "1.2.3.4")]
+    assert spans == [("email", "a.b+c@x-y.co.uk"), ("ip", "1.2.3.4"), ("ip", "0010.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (743) 555-3824")]
     rng = __import__("random").Random(3)
-    for _ in range(3000):
+    for _ in range(6000):
         t = "".join(rng.choice("a.@+1234 ()-%_é") for _ in range(rng.randint(0, 60)))
-        want = [("email", *m.span()) for m in pii.EMAIL.finditer(t)]
-        want += [("ip", *m.span()) for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
-        for m in pii.CARD.finditer(t):
-            d = re.sub("[^0-9]", "", m[0])
-            if 16 <= len(d) <= 19 and pii.luhn(d):
-                want.append(("card", *m.span()))
-        want += [("phone", *m.span()) for m in pii.PHONE.finditer(t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
-        assert pii.base_spans(t) == want, t
-
-
-def test_pii_field_on_held_out_lines():
-    field, hit, missed, extra = pii.trained(), 0, 0, 0
-    for text, gold in pii.examples(300, seed=77):
+        assert pii.base_spans(t) == plain_base(t), t
+
+
+def plain_base(t):
+    want = [("email", *m.span()) for m in pii.EMAIL.finditer(t)]
+    want += [("ip", *m.span()) for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in pii.CARD.finditer(t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and pii.luhn(d):
+            want.append(("card", *m.span()))
+    return want + [("phone", *m.span()) for m in pii.PHONE.finditer(t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_pii_of_very_long_runs():
+    """Linear in the text, whatever it holds; a mark of quadratic work would take minutes here."""
+    field, began = pii.trained(), __import__("time").time()
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [("ip", 0, 5007)]
+    n = 300_000
+    for t in ("x@" + "a" * n, "1" * n + "...", "1." * n, "@" * n, "a@a." * (n // 4), "+1" * (n // 2), "+1" + "(" * n, "1 " * n, "ab1" * (n // 3), "0" * n + "@" + "9" * n):
+        pii.all_spans(t, field)
+    assert pii.base_spans("z" * n + "@" + "a" * n + ".b") == [("email", 0, 2 * n + 3)]
+    assert __import__("time").time() - began < 60
+
+
+def best_by_hand(field, text):
+    """The best score and the entities over every segmentation of the whole text, by trying all."""
+    tokens, found = pii.segments(text, 0, len(text))
+
+    def best(at):
+        if at >= len(tokens):
+            return 0.0, ()
+        out = best(at + 1)
+        for i, j, f in found:
+            if i == at:
+                rest, spans = best(j)
+                for kind in pii.KINDS:
+                    s = field.score(kind, f) - pii.MARGIN
+                    if s + rest > out[0] + 1e-9:
+                        out = (s + rest, ((kind, tokens[i][0], tokens[j - 1][1]), *spans))
+        return out
+
+    return best(0)
+
+
+def test_pii_field_takes_the_best_segmentation():
+    field, rng = pii.trained(), __import__("random").Random(8)
+    lines = [t for t, _ in pii.examples(60, seed=31)]
+    lines += ["".join(rng.choice(["12", "555", "4111", " ", "-", ".", "+", "(", ")", "a", " at ", "@", "x1"]) for _ in range(rng.randint(3, 14))) for _ in range(200)]
+    score_of = lambda text, spans: sum(field.score(k, pii.span_features(text, a, z)) - pii.MARGIN for k, a, z in spans)
+    for text in lines:
+        whole = field.decode(text, 0, len(text))
+        want, _ = best_by_hand(field, text)
+        assert math.isclose(score_of(text, whole), want, abs_tol=1e-6), text
+    joined = [" é  ".join(rng.choice(lines) for _ in range(30)) for _ in range(20)]
+    for text in joined:  # the regions leave no candidate out
+        parts = [s for lo, hi in pii.regions(text) for s in field.decode(text, lo, hi)]
+        assert parts == field.decode(text, 0, len(text))
+
+
+#: written by hand, not by the generator that trains the field
+GOLD = [
+    ("reach me: joe.smith [at] example [dot] org thanks", "email", "joe.smith [at] example [dot] org"),
+    ("write to anna(at)firma.de today", "email", "anna(at)firma.de"),
+    ("my mail is joe at example dot com", "email", "joe at example dot com"),
+    ("Fax 0049 30 1234567 or by post", "phone", "0049 30 1234567"),
+    ("call (212) 555-0187 after six", "phone", "(212) 555-0187"),
+    ("tel. 415-555-0132, ask for Lee", "phone", "415-555-0132"),
+    ("phone 646.555.0199 (office)", "phone", "646.555.0199"),
+    ("card 4111.1111.1111.1111 was charged", "card", "4111.1111.1111.1111"),
+    ("paid by 5500/0000/0000/0004 yesterday", "card", "5500/0000/0000/0004"),
+    ('api_key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "secret", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"),
+    ("export AUTH_TOKEN=ghq_16C7e42F292c6912E7710c838347Ae178B4a", "secret", "ghq_16C7e42F292c6912E7710c838347Ae178B4a"),
+    ('token = "07b1b4e1fe6dd54b7a2f0e6b8c3d9a5512345678" here', "secret", "07b1b4e1fe6dd54b7a2f0e6b8c3d9a5512345678"),
+]
+CLEAN = ["on 2024-11-26 at 10:15:30 we met", "version 1.2.30.4567 of 2019", "pages 100-200 and 300-400", "ISBN 978-3-16-148410-0", "it cost 1,234,567 dollars", "order 12345678 shipped", "the state-of-the-art-in-2020 method works", "see you at home", "look at example images and dot com shares", "a=1, b=22, c=333, d=4444", "chapter 3.1.4 section 1.5", "population 8 336 817 in 2020"]
+
+
+def test_pii_added_spans_against_hand_written_lines():
+    field = pii.trained()
+    hits = Counter()
+    for text, kind, want in GOLD:
         base, more = pii.all_spans(text, field)
-        found = {(a, z) for _, a, z in base + more}
-        want = {(a, z) for _, a, z in gold}
-        hit, missed, extra = hit + len(found & want), missed + len(want - found), extra + len(found - want)
-    assert hit / (hit + missed) > 0.9 and hit / (hit + extra) > 0.85
+        hits[kind, (kind, want) in [(k, text[a:z]) for k, a, z in base + more]] += 1
+    assert sum(n for (_, ok), n in hits.items() if ok) >= 0.9 * len(GOLD), hits
+    assert sum(bool(sum(pii.all_spans(t, field), [])) for t in CLEAN) <= 1, [(t, pii.all_spans(t, field)) for t in CLEAN]
 
 
 def test_pii_spans_and_masks(docs, rows, spark):
@@ -273,7 +340,7 @@ def test_pii_spans_and_masks(docs, rows, spark):
     assert pii.masked("mail a@b.de or +1 (743) 555-3824!", field) == "mail <email> or <phone>!"
     assert pii.masked(None, field) is None
     one = spark.createDataFrame([(1, "mail a@b.de now")], "doc_id long, text string")
-    assert tuple(pii.find_pii(one).first()) == (1, 1, 0, 0, 0, "email:5:11", "email:5:11")
+    assert tuple(pii.find_pii(one).first()) == (1, 1, 0, 0, 0, "email:5:11", "email:5:11", 1)
 
 
 PAGES = "page_id long, url string, html string, digest string"
