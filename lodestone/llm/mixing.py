@@ -1,20 +1,25 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame and SQL functions only.
 
-Each source's documents, in the order of a hash of their ids, are cut into blocks. A source of
-weight q / Q (whole numbers; Q is the sum of all quotas, one frame) releases its j-th block (from 0)
-at slot floor(j Q / q) and must place it by slot ceil((j + 1) Q / q). Each slot goes to the released
-block of earliest deadline. As the weights sum to one, every deadline is met, so after any number of
-slots each source has had less than one block more or less than its weight. The schedule repeats
-from frame to frame, so one frame is worked out from the quotas alone and joined to the blocks.
-When a source has no block left its slots close up, and the others keep their proportions.
+Each source's documents, in the order of a hash of their ids, are cut into blocks. A source of whole
+weight w, of the sum W of all weights, releases its j-th block (from 0) at slot floor(j W / w) and must
+place it before slot ceil((j + 1) W / w). Each slot goes to the released block of earliest deadline.
+
+The schedule is worked out by frames, each in a row of its own, so frames run in parallel. At a frame's
+first slot T a source has placed floor(T w / W) blocks, or one more if it is among those whose next
+block is furthest on: as many of these as make T in all. So the counts at a frame's ends need no earlier
+frame, and between them earliest-deadline-first takes the blocks with the releases and deadlines of the
+whole schedule. A frame has ``frame`` slots, or as many as give the lightest source one, so
+counts never fall from frame to frame, and no source is ever a whole block before or behind its target
+weight. When a source has no block left its slots close up, and the others keep their proportions.
 
 No window holds a whole source: documents are ranked within hash buckets of a source, and the
-buckets' counts give the offsets, so a hot source is spread over all tasks. The one frame's pattern
-has as many rows as the frame has slots, whatever the input's size.
+buckets' counts give the offsets, so a hot source is spread over all tasks. A frame's row lists the
+sources, one entry each; its work grows with its slots times the sources that are in it.
 
 Defined cases: documents with a null source are a source of their own; those with a null doc_id
 come in the place of the hash of ``null``; rows that repeat get a place each; an empty table gives an
-empty result; other columns are ignored by ``mixing_order`` and kept by ``mix_documents``.
+empty result; other columns are ignored by ``mixing_order`` and kept by ``mix_documents``; texts, of
+whatever length, are never read.
 """
 
 from __future__ import annotations
@@ -22,7 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, FRAME, DIGITS = 64, 1000, 3
+BLOCK, FRAME, DIGITS = 64, 256, 3
+#: millionths of the whole that a source has at least where targets are given by name
+LEAST = 1000
 
 
 def root_weight() -> Column:
@@ -31,30 +38,46 @@ def root_weight() -> Column:
 
 
 def target_weights(targets: dict[str, float]) -> Column:
-    """Target shares given by name, in millionths; a source without one gets the least share, one slot a frame."""
+    """Target shares given by name, in millionths; a source without one, or of a lesser one, gets ``LEAST``."""
     out = F.lit(0).cast("long")
     for name, share in targets.items():
         out = F.when(F.col("source_key") == "=" + name, F.lit(round(share * 1e6)).cast("long")).otherwise(out)
-    return out
+    return F.greatest(out, F.lit(LEAST).cast("long"))
 
 
-def source_quotas(sources: DataFrame, weight: Column, frame: int) -> DataFrame:
-    """Adds quota: slots of a source in a frame, at least one. sources has a row a source."""
-    weighed = sources.withColumn("weight", weight)
-    total = weighed.agg(F.greatest(F.sum("weight"), F.lit(1).cast("long")).alias("all_weights"))
-    share = F.expr(f"greatest(1L, weight * {frame}L div all_weights)")
-    return weighed.join(F.broadcast(total)).withColumn("quota", share).drop("weight", "all_weights")  # total is one row
+def frames(sources: DataFrame, weight: Column, block: int, frame: int) -> DataFrame:
+    """(frame, s): a row a frame that has blocks, with an entry for each source that has blocks in it.
 
-
-def frame_pattern(quotas: DataFrame) -> DataFrame:
-    """(source_key, nth, frame_slot, slots): the earliest-deadline-first schedule of one frame."""
-    listed = quotas.agg(F.sort_array(F.collect_list(F.struct("source_key", "quota"))).alias("s"), F.coalesce(F.sum("quota"), F.lit(0)).cast("long").alias("slots")).filter("slots > 0")
-    released = "filter(transform(s, (x, i) -> named_struct('deadline', ((st.c[i] + 1) * slots + x.quota - 1) div x.quota, 'i', i, 'release', st.c[i] * slots div x.quota)), x -> x.release <= t)"
-    step = f"transform(array(array_min({released}).i), pick -> named_struct('c', transform(st.c, (n, i) -> if(i = pick, n + 1L, n)), 'p', concat(st.p, array(pick))))[0]"
-    picks = f"aggregate(sequence(0L, slots - 1L), named_struct('c', transform(s, x -> 0L), 'p', cast(array() as array<int>)), (st, t) -> {step}, st -> st.p)"
-    slots = listed.select("s", "slots", F.posexplode(F.expr(picks)).alias("frame_slot", "pick"))
-    named = slots.select(F.expr("s[pick].source_key").alias("source_key"), F.col("frame_slot").cast("long").alias("frame_slot"), "slots")
-    return named.withColumn("nth", F.row_number().over(Window.partitionBy("source_key").orderBy("frame_slot")).cast("long") - 1)
+    An entry has source_key, w, all (the sum of weights), a (blocks placed before the frame), q (blocks
+    in it) and n_docs. sources has a row a source.
+    """
+    weighed = sources.withColumn("w", F.greatest(weight, F.lit(1).cast("long"))).withColumn("blocks", F.expr(f"(n_docs + {block - 1}) div {block}L"))
+    listed = weighed.agg(F.sort_array(F.collect_list(F.struct("source_key", "w", "blocks", "n_docs"))).alias("s"), F.sum("w").alias("all"), F.min("w").alias("least")).filter("all is not null")
+    listed = listed.withColumn("slots", F.expr(f"greatest({frame}L, (`all` + least - 1) div least)"))
+    last = "array_max(transform(s, x -> x.blocks * `all` div x.w)) div slots"
+    each = listed.select("s", "all", "slots", F.explode(F.expr(f"sequence(0L, {last})")).alias("frame"))
+    each = each.repartition("frame").withColumn("t", F.expr("frame * slots"))
+    # blocks placed by every source before a slot: whole ones, and one more of those up to the last that is counted on;
+    # transform(array(x), y -> ...)[0] computes x once
+    def placed(at: str) -> str:
+        whole = f"aggregate(s, 0L, (n, x) -> n + {at} * x.w div `all`)"
+        others = f"array_sort(filter(transform(s, (x, i) -> named_struct('on', -({at} * x.w % `all`), 'i', i)), y -> y.on < 0))"
+        one = f"if(coalesce(named_struct('on', -({at} * x.w % `all`), 'i', i) <= last and {at} * x.w % `all` > 0, false), 1L, 0L)"
+        return f"transform(array(get({others}, cast({at} - {whole} as int) - 1)), last -> transform(s, (x, i) -> {at} * x.w div `all` + {one}))[0]"
+
+    entry = "named_struct('source_key', x.source_key, 'w', x.w, 'all', `all`, 'a', g.a[i], 'q', least(g.z[i], x.blocks) - g.a[i], 'n_docs', x.n_docs)"
+    entries = f"transform(array(named_struct('a', {placed('t')}, 'z', {placed('(t + slots)')})), g -> filter(transform(s, (x, i) -> {entry}), x -> x.q > 0))[0]"
+    return each.select("frame", "slots", "t", F.expr(entries).alias("s")).filter("size(s) > 0")
+
+
+def schedule(framed: DataFrame) -> DataFrame:
+    """(frame, frame_slot, slot, source_key, block, n_docs): the earliest-deadline-first order of each frame's blocks."""
+    state = "named_struct('c', transform(s, x -> x.a), 'p', cast(array() as array<struct<i: int, block: bigint>>))"
+    open_ = "filter(transform(s, (x, i) -> named_struct('wait', greatest(st.c[i] * x.`all` div x.w - k, 0L), 'deadline', ((st.c[i] + 1) * x.`all` + x.w - 1) div x.w, 'i', i, 'left', x.a + x.q - st.c[i])), x -> x.left > 0)"
+    step = f"transform(array(array_min({open_}).i), pick -> named_struct('c', transform(st.c, (n, i) -> if(i = pick, n + 1L, n)), 'p', concat(st.p, array(named_struct('i', pick, 'block', st.c[pick])))))[0]"
+    picks = f"aggregate(sequence(t, t + aggregate(s, 0L, (n, x) -> n + x.q) - 1L), {state}, (st, k) -> {step}, st -> st.p)"
+    rows = framed.select("frame", "t", "s", F.posexplode(F.expr(picks)).alias("frame_slot", "p"))
+    return rows.select("frame", F.col("frame_slot").cast("long").alias("frame_slot"), (F.col("t") + F.col("frame_slot")).alias("slot"), F.expr("s[p.i].source_key").alias("source_key"), F.expr("p.block").alias("block"), F.expr("s[p.i].n_docs").alias("n_docs"))
 
 
 def mixing_order(docs: DataFrame, weight: Column | None = None, block: int = BLOCK, frame: int = FRAME, digits: int = DIGITS, keep: list[str] | None = None) -> DataFrame:
@@ -70,18 +93,14 @@ def mixing_order(docs: DataFrame, weight: Column | None = None, block: int = BLO
     ranked = ranked.withColumn("block", F.expr(f"rank div {block}L")).withColumn("in_block", F.expr(f"rank % {block}L"))
 
     sources = counts.groupBy("source_key").agg(F.sum("n").alias("n_docs"))
-    quotas = source_quotas(sources, root_weight() if weight is None else weight, frame)
-    pattern = frame_pattern(quotas)
-    # every block but a source's last is full, so blocks follow from the documents that begin them
-    blocks = ranked.filter("in_block = 0").select("source_key", "block").join(quotas, "source_key")
-    blocks = blocks.select("source_key", "block", F.expr(f"least({block}L, n_docs - block * {block}L)").alias("size"), F.expr("block div quota").alias("frame"), F.expr("block % quota").alias("nth"))
-    placed = blocks.join(pattern, ["source_key", "nth"])
-    frames = placed.groupBy("frame").agg(F.sum("size").alias("n"))
+    placed = schedule(frames(sources, root_weight() if weight is None else weight, block, frame))
+    placed = placed.withColumn("size", F.expr(f"least({block}L, n_docs - block * {block}L)"))
+    sizes = placed.groupBy("frame").agg(F.sum("size").alias("n"))
     earlier = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)  # a row a frame: some 1 / (block * frame) of the rows
-    starts = frames.select("frame", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    starts = sizes.select("frame", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     inside = Window.partitionBy("frame").orderBy("frame_slot").rowsBetween(Window.unboundedPreceding, -1)
     based = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, "frame")
-    based = based.select("source_key", "block", (F.col("frame") * F.col("slots") + F.col("frame_slot")).alias("slot"), (F.col("start") + F.col("inside")).alias("base"))
+    based = based.select("source_key", "block", "slot", (F.col("start") + F.col("inside")).alias("base"))
     out = ranked.join(based, ["source_key", "block"])
     return out.select(*(keep or ["doc_id", "source"]), "block", "slot", (F.col("base") + F.col("in_block")).alias("position"))
 

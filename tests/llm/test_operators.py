@@ -193,38 +193,49 @@ def test_token_shards(docs, rows):
     assert Counter((r.doc_id, r.seq, r.n_tokens, r.ids_crc32) for r in found) == want
 
 
+def placed_before(t, weights):
+    """Blocks of each source at a frame's first slot."""
+    total = sum(weights.values())
+    out = {k: t * w // total for k, w in weights.items()}
+    ahead = sorted((-(t * w % total), k) for k, w in sorted(weights.items()) if t * w % total)
+    for _, k in ahead[: t - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def pattern_by_hand(weights, frame, blocks, end):
+    """(slot, source) of each block, frame by frame, up to slot ``end``."""
+    total, out = sum(weights.values()), []
+    slots = max(frame, -(-total // min(weights.values())))
+    for t in range(0, end, slots):
+        c, z = placed_before(t, weights), placed_before(t + slots, weights)
+        z = {k: min(n, blocks[k]) for k, n in z.items()}
+        for k in range(sum(max(0, z[x] - c[x]) for x in c)):
+            pick = min((max(0, c[x] * total // w - t - k), -(-(c[x] + 1) * total // w), x) for x, w in sorted(weights.items()) if c[x] < z[x])[2]
+            c[pick] += 1
+            out.append((t + k, pick))
+    return out
+
+
 def mixed_by_hand(rows, block, frame):
     groups = defaultdict(list)
     for r in rows:
         key = "null" if r[3] is None else "=" + r[3]
         groups[key].append((hashlib.md5(("null" if r[0] is None else str(r[0])).encode()).hexdigest(), r[0]))
     weights = {k: math.floor(math.sqrt(len(v)) * 1000) for k, v in groups.items()}
-    quota = {k: max(1, w * frame // sum(weights.values())) for k, w in weights.items()}
-    slots = sum(quota.values())
-    placed, pattern = dict.fromkeys(groups, 0), []
-    for t in range(slots):
-        ready = [(-(-(placed[k] + 1) * slots // q), k) for k, q in sorted(quota.items()) if placed[k] * slots // q <= t]
-        k = min(ready)[1]
-        placed[k] += 1
-        pattern.append(k)
     left = {k: [sorted(v)[i : i + block] for i in range(0, len(v), block)] for k, v in groups.items()}
-    out, slot, at = [], 0, dict.fromkeys(groups, 0)
-    while any(at[k] < len(v) for k, v in left.items()):
-        k = pattern[slot % slots]
-        if at[k] < len(left[k]):
-            out += [(d, None if k == "null" else k[1:], at[k], slot, len(out) + i) for i, (_, d) in enumerate(left[k][at[k]])]
-            at[k] += 1
-        slot += 1
-    return out, quota, pattern
+    out, at = [], dict.fromkeys(groups, 0)
+    total = sum(weights.values())
+    for slot, k in pattern_by_hand(weights, frame, {k: len(v) for k, v in left.items()}, max(len(v) * total // weights[k] for k, v in left.items()) + 1):
+        out += [(d, None if k == "null" else k[1:], at[k], slot, len(out) + i) for i, (_, d) in enumerate(left[k][at[k]])]
+        at[k] += 1
+    return out, weights
 
 
 def test_mixing(docs, rows):
-    out, quota, pattern = mixed_by_hand(rows, 4, 20)
+    out, _ = mixed_by_hand(rows, 4, 20)
     found = mixing.mixing_order(docs, block=4, frame=20)
     assert sorted(map(tuple, found.collect()), key=lambda r: r[4]) == out
-    for k, q in quota.items():  # less than one block of deviation after any number of slots
-        for t in range(1, len(pattern) + 1):
-            assert abs(pattern[:t].count(k) - t * q / len(pattern)) < 1
     whole = mixing.mix_documents(docs, block=4, frame=20)
     assert whole.columns == docs.columns
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, rows))
@@ -232,9 +243,38 @@ def test_mixing(docs, rows):
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)
 
 
+@pytest.mark.parametrize("weights", [[7, 1, 3], [1] * 40, [1000, 999, 1, 1, 17], [577, 1299, 31, 31, 31, 450, 2, 9] * 3])
+def test_mixing_keeps_within_a_block_of_the_target_weights(spark, weights):
+    """Over many frames, against the weights themselves."""
+    from pyspark.sql import functions as F
+
+    total, names = sum(weights), [f"=s{i:03d}" for i in range(len(weights))]
+    length = 3 * max(256, -(-total // min(weights)))
+    sources = spark.createDataFrame([(k, 10 * length, w) for k, w in zip(names, weights, strict=True)], "source_key string, n_docs long, weight long")
+    order = mixing.schedule(mixing.frames(sources, F.col("weight"), 10, 256).filter(f"t < {length}")).orderBy("slot").select("slot", "source_key").collect()
+    assert [r.slot for r in order] == list(range(len(order))) and len(order) >= length
+    placed, weight = dict.fromkeys(names, 0), dict(zip(names, weights, strict=True))
+    for r in order:
+        placed[r.source_key] += 1
+        assert all(abs(placed[k] * total - (r.slot + 1) * weight[k]) < total for k in names)
+
+
+def test_mixing_of_very_many_sources():
+    """The rule of the frames' ends, against the target weights, with 5000 sources."""
+    rng = np.random.default_rng(2)
+    weights = {f"{i:04d}": int(w) for i, w in enumerate(rng.integers(1000, 3000, 5000))}
+    total = sum(weights.values())
+    slots = max(256, -(-total // min(weights.values())))
+    before = placed_before(0, weights)
+    for f in range(1, 30):
+        now = placed_before(f * slots, weights)
+        assert sum(now.values()) == f * slots and all(now[k] >= before[k] and abs(now[k] * total - f * slots * w) < total for k, w in weights.items())
+        before = now
+
+
 def test_mixing_targets(docs):
-    shares = mixing.source_quotas(docs.selectExpr("coalesce('=' || source, 'null') source_key").groupBy("source_key").count().withColumnRenamed("count", "n_docs"), mixing.target_weights({"s0": 0.75, "s1": 0.25}), 100)
-    assert {r.source_key: r.quota for r in shares.collect()} == {"=s0": 75, "=s1": 25, "null": 1}
+    shares = docs.selectExpr("coalesce('=' || source, 'null') source_key").distinct().withColumn("w", mixing.target_weights({"s0": 0.75, "s1": 0.25}))
+    assert {r.source_key: r.w for r in shares.collect()} == {"=s0": 750000, "=s1": 250000, "null": mixing.LEAST}
 
 
 def test_pii_base_patterns():
