@@ -12,13 +12,15 @@ Blocks of queries meet blocks of candidates by an equi-join on the query block's
 candidate blocks are repeated; this is the stated query set against all rows.
 
 Scores are exact: partial sums are whole numbers in double precision below 2**53; larger components
-are summed as Python integers. Ties go to the smaller vec_id.
+are summed as Python integers. The bounds, which are no whole numbers, are widened by more than
+their rounding. A score beyond 64 bits is given as the largest or smallest 64-bit number and ranks as
+that. Ties go to the smaller vec_id.
 
 Rows that repeat a vec_id with one vector are removed before the blocks are laid, by a shuffle of the
 vectors, so none takes a second place among a block's k; a hot vector of many ids is spread by id.
 
-Defined cases: vectors that are null, empty or hold a null or non-finite component take no part, nor
-do rows with a null vec_id; vectors are compared with those of the same length only; rows that
+Defined cases: vectors that are null, empty or hold a component that is null, or not finite after
+scaling, take no part, nor do rows with a null vec_id; vectors are compared with those of the same length only; rows that
 repeat a vec_id with one vector count once, those with different vectors each; no row is a candidate
 for a query of its own vec_id; an empty table gives an empty result.
 """
@@ -33,14 +35,18 @@ from pyspark.sql import functions as F
 from ..session import materialise, partitions
 
 SCALE, K, QUERIES, CANDIDATES, DIMS = 256, 5, 512, 8192, 16
+#: more than the rounding of a sum of two numbers below 2**53
+SLACK = 4.0
+LARGEST = 2**63 - 1
 
 
 def floored(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v): usable vectors as arrays of floor(scale * x), as doubles."""
     cast = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x * scale) == float("inf")))
+    whole = lambda x: F.when(F.abs(x * scale) < 2.0**52, F.floor(x * scale).cast("double")).otherwise(x * scale)  # beyond, doubles are whole
     usable = cast.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
-    return usable.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    return usable.select("vec_id", F.transform("v", whole).alias("v"))
 
 
 def _blocks(size: int):
@@ -80,11 +86,11 @@ def best_of_block(query: np.ndarray, vertical: np.ndarray, tails: list[np.ndarra
         score = score + query[dims] @ cols
         if i + 1 == len(parts):
             break
-        rest = query_tails[i + 1] * (tails[i + 1] if alive is None else tails[i + 1][alive])
+        rest = query_tails[i + 1] * (tails[i + 1] if alive is None else tails[i + 1][alive]) * (1 + 1e-9)
         if len(score) > k:
             # k candidates have at least their lower bound, so the k-th best score is no less
-            floor = max(floor, np.partition(score - rest, len(score) - k)[len(score) - k] - 1)
-        stay = np.flatnonzero(score + rest >= floor - 1)
+            floor = max(floor, np.partition(score - rest, len(score) - k)[len(score) - k] - SLACK)
+        stay = np.flatnonzero(score + rest >= floor - SLACK)
         if len(stay) < len(score):
             alive = stay if alive is None else alive[stay]
             score = score[stay]
@@ -112,7 +118,8 @@ def _search(k: int, dims: int):
                         at, score = best_of_block(query, vertical, tails, mine, parts, k + own, -np.inf)
                     else:
                         at = np.arange(len(c_names))
-                        score = np.array([sum(int(x) * int(y) for x, y in zip(query, col, strict=True)) for col in vertical.T], object)
+                        mine = [int(x) for x in query]
+                        score = np.array([max(-LARGEST - 1, min(LARGEST, sum(x * int(y) for x, y in zip(mine, col, strict=True)))) for col in vertical.T], object)
                     other = c_names[at] != name
                     at, score = at[other], score[other]
                     top = sorted(range(len(at)), key=lambda i: (-score[i], at[i]))[:k] if not exact else np.lexsort((at, -score))[:k]

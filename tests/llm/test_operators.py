@@ -424,8 +424,23 @@ def test_exact_topk(spark):
     rows += [(1000 + i, rows[7][1]) for i in range(30)] + [(2000, None), (2001, []), (2002, [None] * 20), (2003, [math.nan] * 20), (2004, [math.inf] * 20), (None, rows[1][1]), rows[5], (2050, [0.5, 0.5]), (2051, [0.25, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     assert sorted(map(tuple, topk_search.exact_topk(df, every=10, queries=16, candidates=64, dims=4).collect())) == brute_topk(rows, 5, 10)
-    big = spark.createDataFrame([(i, [1e8 * (i + 1), -3e8 + i]) for i in range(8)], "vec_id long, embedding array<float>")
-    assert topk_search.exact_topk(big, every=4, scale=1).count() == 10
+
+
+def test_exact_topk_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    for size in (1e5, 1e8, 1e10, 1e20, 3e36):
+        rows = [(i, [float(x) for x in rng.normal(size=6) * size]) for i in range(60)] + [(100, [float(size)] * 6), (101, [float(size)] * 6)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+        clamped = lambda x: max(-(2**63), min(2**63 - 1, x))
+        whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+        want = []
+        for i in whole:
+            if i % 20 == 0:
+                scored = sorted((-clamped(sum(a * b for a, b in zip(whole[i], v, strict=True))), j) for j, v in whole.items() if j != i)
+                want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:5])]
+        assert sorted(map(tuple, topk_search.exact_topk(df, every=20, dims=2, candidates=16).collect())) == sorted(want)
+    over = spark.createDataFrame([(0, [1e307]), (20, [1.0]), (21, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk_search.exact_topk(over, every=20).collect()] == [(20, 1, 21, 131072)]
 
 
 def test_exact_topk_of_repeated_rows(spark):
