@@ -4,48 +4,60 @@ A document is the set of its distinct ``k``-word shingles. Sizes are cut into ba
 1 / threshold t, so similar sets lie in one band or in neighbours, and each set takes part in its
 own band's instance and in the next one's. In an instance whose largest size is r, similar sets
 differ in at most 2 r (1 - t) / (1 + t) features, and a set of n features differs from any similar
-one in at most n (1 - t) / t. The feature domain is cut into groups of parts. Two sets that differ
-in d features differ in at most ``spare`` features in at least groups - d // (spare + 1) groups, and
-there agree on some subset of parts - spare parts: each such subset's contents are one signature.
-Subsets without features say nothing and are left out. A set for which too many groups are this thin
-repeats the cut with another hash until one suffices; of a similar pair the first to suffice does so
-for both, so no pair is lost.
+one in at most n (1 - t) / t. The feature domain is cut into groups of ``PARTS`` parts. Two sets that
+differ in d features differ in at most ``SPARE`` features in at least groups - d // (SPARE + 1) groups,
+and there agree on some subset of PARTS - SPARE parts: the contents of each such subset are one
+signature. Subsets without features say nothing and are left out; a group is thin for a set if it has at
+most ``SPARE`` parts with features. So a set shares a signature with any similar one in at least
+groups - d // (SPARE + 1) - thin groups, its surplus. A set without surplus repeats the cut with
+another hash until it has one; of a similar pair the first to have one has it for both.
 
 Signatures travel as packed arrays, one row a bucket and batch, and each bucket is sorted in memory.
-The groups of sets that share a signature give links to their first member, which is linear in a
-group's size. A verified link joins components. Groups that still span several components afterwards
-are compared in blocks across components, so that no link between components is missed.
-Before shingles are compared, bits by feature class bound the intersection from above, which
-drops chance candidates and can't drop a link. Links are verified on whole shingle sets.
+Sets that share a signature are a group. The surplus then thins the groups exactly:
+
+* a set that shares fewer signatures, of all its groups, than its surplus has no similar set;
+* every set leaves its largest groups, up to (surplus - 1) // 2 signatures: of a similar pair's common
+  signatures, at least the larger surplus, both together leave fewer.
+
+What a very common passage lends to many documents is so left behind, without a limit on any group.
+The groups that remain give links to their first member, which is linear in a group's size. A verified
+link joins components. Groups that still span several components afterwards are compared in blocks
+across components, so that no link between components is missed. Before shingles are compared, bits by
+feature class bound the intersection from above, which drops chance candidates and can't drop a link.
+Links are verified on whole shingle sets, hashed anew by another function than the signatures' features;
+texts that are equal but for case, met in one task, are linked by a 128-bit digest.
 
 Defined cases: a document without words or with null text has an empty set and no link; one with
 fewer than ``k`` words has its whole word sequence as its only shingle; rows with a null doc_id keep
 their size and are their own (null) component; rows that share a doc_id are one node of the graph,
-with a row each in the result; other columns are ignored.
+with a row each in the result; other columns are ignored; an empty table gives an empty result; memory
+follows the longest single text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, partitions
 from .components import components
-from .words import U, mix, runs, scans
+from .words import U, lowered, mix, release, runs, scans, utf8
 
-#: (parts, spare) of instances up to SMALL features and of larger ones, where whole groups are told apart well enough
-SMALL, CUT_SMALL, CUT_LARGE = 64, (4, 1), (1, 0)
-_SUBSETS = {c: list(combinations(range(c[0]), c[0] - c[1])) for c in (CUT_SMALL, CUT_LARGE)}
+PARTS, SPARE = 3, 1
+_SUBSETS = list(combinations(range(PARTS), PARTS - SPARE))
 _ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 SEEDS = 64
 #: members of a group that are compared in one block, and rows sent to the driver's broadcast at most
 BLOCK, BROADCAST_ROWS = 4096, 1_000_000
-#: pairs that a task remembers, lest it gives them twice; beyond it starts anew and a later distinct() does the rest
-GIVEN = 500_000
+#: rows of groups that a task compares at once, and pairs that it holds before it drops those it has twice
+TASK_ROWS, GIVEN = 200_000, 1_000_000
+#: bytes of signatures that a bucket is meant to hold
+BUCKET_BYTES = 8 << 20
 
 
 class Sizes:
@@ -61,14 +73,38 @@ class Sizes:
             self.tops.append(low * 100 // self.percent)
         return int(np.searchsorted(self.tops, n))
 
-    def cut(self, band: int) -> tuple[int, int, int, int]:
-        """Groups, parts, spare and greatest difference of a band's instance; no groups if its similar sets are equal."""
+    def cut(self, band: int) -> tuple[int, int]:
+        """Groups and greatest difference of a band's instance; no groups if its similar sets are equal."""
         while len(self.tops) <= band:
             self.band(self.tops[-1] + 1 if self.tops else 1)
-        parts, spare = CUT_SMALL if self.tops[band] <= SMALL else CUT_LARGE
         far = 2 * self.tops[band] * (100 - self.percent) // (100 + self.percent)
-        lost = far // (spare + 1)
-        return (lost + lost * (3 if spare else 1) // 10 + 2 if far else 0), parts, spare, far
+        lost = far // (SPARE + 1)
+        return (lost + lost * 30 // 100 + 2 if far else 0), far
+
+
+def _cells(features: np.ndarray, groups: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features in the order of an instance's hash, and the bounds of its parts."""
+    h = np.sort(mix(features ^ U(seed * 0x9E3779B9))) if seed else features
+    cells = groups * PARTS
+    return h, np.searchsorted((h >> U(32)) * U(cells) >> U(32), np.arange(cells + 1, dtype=U))
+
+
+def _surplus(bounds: np.ndarray, groups: int, far: int) -> int:
+    full = (np.diff(bounds) > 0).reshape(groups, PARTS)
+    return groups - far // (SPARE + 1) - int((full.sum(axis=1) <= SPARE).sum())
+
+
+def surplus(features: np.ndarray, sizes: Sizes) -> int:
+    """The least number of signatures, of the first hash, that the set shares with any similar one; at least 1."""
+    n = len(features)
+    own, out = sizes.band(n), []
+    for band in (own, own + 1):
+        groups, far = sizes.cut(band)
+        if groups:
+            out.append(_surplus(_cells(features, groups, 0)[1], groups, min(far, n * (100 - sizes.percent) // sizes.percent)))
+        else:
+            out.append(1)
+    return max(1, min(out))
 
 
 def signatures(features: np.ndarray, sizes: Sizes) -> np.ndarray:
@@ -78,22 +114,19 @@ def signatures(features: np.ndarray, sizes: Sizes) -> np.ndarray:
     own_far = n * (100 - sizes.percent) // sizes.percent
     out = []
     for band in (own, own + 1):
-        groups, parts, spare, far = sizes.cut(band)
-        far = min(far, own_far)
-        cells = groups * parts
+        groups, far = sizes.cut(band)
         for seed in range(SEEDS if groups else 0):
-            h = np.sort(mix(features ^ U(seed * 0x9E3779B9))) if seed else features
-            bounds = np.searchsorted((h >> U(32)) * U(cells) >> U(32), np.arange(cells + 1, dtype=U))
+            h, bounds = _cells(features, groups, seed)
             sums = np.zeros(n + 1, U)
             np.cumsum(mix(h + U(1)), dtype=U, out=sums[1:])
-            content = (sums[bounds[1:]] - sums[bounds[:-1]]).reshape(groups, parts)
-            full = (np.diff(bounds) > 0).reshape(groups, parts)
-            for k, subset in enumerate(_SUBSETS[parts, spare]):
+            content = (sums[bounds[1:]] - sums[bounds[:-1]]).reshape(groups, PARTS)
+            full = (np.diff(bounds) > 0).reshape(groups, PARTS)
+            for k, subset in enumerate(_SUBSETS):
                 some = full[:, subset].any(axis=1)
                 value = sum(content[:, p] * _ODD[i] for i, p in enumerate(subset))
-                salt = mix(np.arange(groups, dtype=U) * U(parts) + U(k) + U((band << 40) + (seed << 34) + 7))
+                salt = mix(np.arange(groups, dtype=U) * U(PARTS) + U(k) + U((band << 40) + (seed << 34) + 7))
                 out.append(mix(value + salt)[some])
-            if (full.sum(axis=1) <= spare).sum() < groups - far // (spare + 1):
+            if _surplus(bounds, groups, min(far, own_far)) > 0:
                 break
         else:  # equal sets only, or a set that no cut suits: it meets all such sets of the instance
             out.append(mix(np.array([(band << 40) + 1], U) + (U(0) if groups else np.sum(mix(features), dtype=U))))
@@ -101,8 +134,8 @@ def signatures(features: np.ndarray, sizes: Sizes) -> np.ndarray:
 
 
 def sketch(features: np.ndarray) -> bytes:
-    """A bit for each hash class that holds a feature, of four to eight classes a feature."""
-    classes = 1 << max(6, (4 * len(features) - 1).bit_length())
+    """A bit for each hash class that holds a feature, of two to four classes a feature."""
+    classes = 1 << max(6, (2 * len(features) - 1).bit_length())
     held = np.zeros(classes, np.uint8)
     held[(features & U(classes - 1)).astype(np.int64)] = 1
     return np.packbits(held, bitorder="little").tobytes()
@@ -119,9 +152,9 @@ def _most_common(p: np.ndarray, q: np.ndarray, n, m):
     return np.minimum(n - lacks(p, q), m - lacks(q, p))
 
 
-def feature_sets(column: pa.Array, k: int):
+def feature_sets(column: pa.Array, k: int, salt: int = 0):
     """For each row of a text column: its number and its sorted distinct shingle hashes."""
-    for lo, scan in scans(column, lower=True):
+    for lo, scan in scans(column, lower=True, salt=salt):
         begin, hashes = scan.windows(k)
         bounds, whole = np.searchsorted(begin, scan.first), scan.shorter(k)
         for i in range(scan.n_rows):
@@ -132,15 +165,16 @@ def feature_sets(column: pa.Array, k: int):
                 yield lo + i, own[np.append(True, own[1:] != own[:-1])] if len(own) else own
 
 
-def _nodes(k: int):
+def _nodes(k: int, percent: int):
     def run(batches):
-        for b in batches:
-            n, sk = np.zeros(b.num_rows, np.int64), [b""] * b.num_rows
+        sizes = Sizes(percent)
+        for b in runs(batches):
+            n, extra, sk = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [b""] * b.num_rows
             for i, own in feature_sets(b.column("text"), k):
                 n[i] = len(own)
                 if len(own):
-                    sk[i] = sketch(own)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(sk, pa.binary())], ["doc_id", "n_shingles", "sketch"])
+                    extra[i], sk[i] = surplus(own, sizes), sketch(own)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(extra), pa.array(sk, pa.binary())], ["doc_id", "n_shingles", "surplus", "sketch"])
 
     return run
 
@@ -153,10 +187,12 @@ def _packed(k: int, percent: int, buckets: int):
         for b in runs(batches):
             ids = b.column("doc_id")
             docs, sets, copies = [], [], []
+            data, offsets = utf8(b.column("text"))
+            data = lowered(data)
             for i, own in feature_sets(b.column("text"), k):
                 if not len(own) or not ids[i].is_valid:
                     continue
-                doc, key = ids[i].as_py(), hash(own.tobytes())
+                doc, key = ids[i].as_py(), hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest()
                 if key in seen:
                     copies.append((seen[key], doc))
                     continue
@@ -190,22 +226,20 @@ def _packed(k: int, percent: int, buckets: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """The groups of documents that share a signature of this bucket, each distinct group once."""
+    """The groups of documents that share a signature of this bucket, each distinct group once, with its number of signatures."""
     bucket = table.column("bucket")[0].as_py()
     join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
     if bucket < 0:
         a, b = join("docs", np.int64), join("counts", np.int64)
-        members = [np.array(x) for x in zip(a.tolist(), b.tolist(), strict=True)]
-        return pa.table({"members": pa.array(members, pa.list_(pa.int64())), "copies": pa.array([True] * len(members), pa.bool_())})
+        return pa.table({"members": pa.array(list(np.stack([a, b], axis=1)), pa.list_(pa.int64())), "times": pa.array([0] * len(a), pa.int64())})
     docs, counts, sigs = join("docs", np.int64), join("counts", "<u4"), join("sigs", "<u4")
-    owner = np.repeat(docs, counts)
     order = np.argsort(sigs, kind="stable")
-    sigs, owner = sigs[order], owner[order]
+    sigs = sigs[order]
     same = np.append(False, sigs[1:] == sigs[:-1])
     grouped = same.copy()
     grouped[:-1] |= same[1:]
-    sigs, owner, same = sigs[grouped], owner[grouped], same[grouped]
-    groups = {}
+    sigs, owner = sigs[grouped], np.repeat(docs, counts)[order[grouped]]
+    groups: dict[bytes, int] = {}
     if len(sigs):
         order = np.lexsort((owner, sigs))
         sigs, owner = sigs[order], owner[order]
@@ -214,8 +248,11 @@ def _shared(table: pa.Table) -> pa.Table:
             own = owner[lo:hi]
             own = own[np.append(True, own[1:] != own[:-1])]
             if len(own) > 1:
-                groups.setdefault(own.tobytes(), own)
-    return pa.table({"members": pa.array(list(groups.values()), pa.list_(pa.int64())), "copies": pa.array([False] * len(groups), pa.bool_())})
+                key = own.tobytes()
+                groups[key] = groups.get(key, 0) + 1
+    out = pa.table({"members": pa.array([np.frombuffer(x, np.int64) for x in groups], pa.list_(pa.int64())), "times": pa.array(list(groups.values()), pa.int64())})
+    release()
+    return out
 
 
 def _may_link(percent: int):
@@ -299,61 +336,53 @@ def _bounded(a: np.ndarray, b: np.ndarray, ns: np.ndarray, sketches: list[bytes]
 
 
 def _across(percent: int):
-    """Of groups in order: the pairs of documents of different components that may link, each once a batch.
+    """Of some groups of one first member: the pairs of documents of different components that may link, each once.
 
-    Groups of one first member come to one task, and these mostly hold the same pairs; a pair that
-    the task has given lately isn't given again.
+    The groups come as ids; their documents' sizes, components and sketches come once, beside them.
     """
 
-    def run(batches):
-        given: set[tuple[int, int]] = set()
-
-        def pairs(table: pa.Table) -> pa.RecordBatch:
-            gid, doc, n, comp, block, i, j = (table.column(c).to_numpy() for c in ("gid", "doc_id", "n_shingles", "component", "block", "i", "j"))
-            cut = np.flatnonzero(np.append(True, (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-            ends = np.append(cut[1:], len(gid))
-            left, right = [], []
-            lo = 0
-            while lo < len(cut):
-                hi = max(lo + 1, int(np.searchsorted(ends, cut[lo] + 2 * BLOCK, "right")))
-                at = slice(int(cut[lo]), int(ends[hi - 1]))
-                names, row, which = np.unique(doc[at], return_index=True, return_inverse=True)
-                row += at.start
-                few = table.column("sketch").take(pa.array(row)).to_pylist()
-                cs, ns = comp[row], n[row]
-                for x, y in _met(which, cut[lo:hi] - at.start, ends[lo:hi] - at.start, np.where(i == j, 0, block - i)[at], len(names)):
-                    ok = (cs[x] != cs[y]) & (100 * np.minimum(ns[x], ns[y]) >= percent * np.maximum(ns[x], ns[y]))
-                    x, y = x[ok], y[ok]
-                    keep = _bounded(x, y, ns, few, percent)
-                    left.append(names[x[keep]])
-                    right.append(names[y[keep]])
-                lo = hi
-            new = set(zip(np.concatenate(left).tolist(), np.concatenate(right).tolist(), strict=True)) - given
-            if len(given) > GIVEN:
-                given.clear()
-            given.update(new)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], ["a", "b"])
-
-        held = None
-        for b in batches:
-            table = pa.Table.from_batches([b])
-            held = table if held is None else pa.concat_tables([held, table])
-            gid = held.column("gid").to_numpy()
-            cut = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if len(gid) and (gid != gid[-1]).any() else 0
-            if cut:
-                yield pairs(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield pairs(held)
+    def run(docs: pa.Table, groups: pa.Table) -> pa.Table:
+        docs, groups = docs.sort_by("doc_id"), groups.sort_by([("gid", "ascending"), ("doc_id", "ascending")])
+        known, ns, cs = (docs.column(c).to_numpy() for c in ("doc_id", "n_shingles", "component"))
+        gid, doc, block, i, j = (groups.column(c).to_numpy() for c in ("gid", "doc_id", "block", "i", "j"))
+        side = np.where(i == j, 0, block - i)
+        cut = np.flatnonzero(np.append(True, gid[1:] != gid[:-1])) if len(gid) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(gid))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        lo = 0
+        while lo < len(cut):
+            hi = max(lo + 1, int(np.searchsorted(ends, cut[lo] + 2 * BLOCK, "right")))
+            at = slice(int(cut[lo]), int(ends[hi - 1]))
+            names, which = np.unique(doc[at], return_inverse=True)
+            row = np.searchsorted(known, names)
+            few, n, c = docs.column("sketch").take(pa.array(row)).to_pylist(), ns[row], cs[row]
+            for x, y in _met(which, cut[lo:hi] - at.start, ends[lo:hi] - at.start, side[at], len(names)):
+                small = np.minimum(n[x], n[y])
+                ok = (c[x] != c[y]) & ((100 * small >= percent * np.maximum(n[x], n[y])) | (small == 0))
+                x, y = x[ok], y[ok]
+                keep = _bounded(x, y, n, few, percent)
+                left.append(names[x[keep]])
+                right.append(names[y[keep]])
+            if sum(map(len, left)) > GIVEN:
+                left, right = _once(left, right)
+            lo = hi
+        left, right = _once(left, right)
+        release()
+        return pa.table({"a": left[0], "b": right[0]})
 
     return run
 
 
+def _once(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+    return [pairs[:, 0]], [pairs[:, 1]]
+
+
 def _features(k: int):
     def run(batches):
         for b in runs(batches):
             sets = [None] * b.num_rows
-            for i, own in feature_sets(b.column("text"), k):
+            for i, own in feature_sets(b.column("text"), k, salt=1):
                 sets[i] = own.view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "features"])
 
@@ -375,42 +404,61 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return both.filter(100 * common >= percent * (F.size("fa") + F.size("fb") - common)).select("a", "b")
 
 
+def thinned(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(gid, doc_id): the memberships that are left after sets have left the groups that their surplus lets them leave."""
+    rows = groups.select(F.xxhash64("members", F.size("members")).alias("gid"), "members", "times").groupBy("gid").agg(F.first("members").alias("members"), F.sum("times").alias("times"))
+    rows = rows.select("gid", F.size("members").alias("size"), "times", F.explode("members").alias("doc_id"))
+    extra = nodes.groupBy("doc_id").agg(F.min("surplus").alias("surplus"))
+    own = Window.partitionBy("doc_id")  # as many rows as a document has signatures, at most
+    rows = rows.join(extra, "doc_id").withColumn("shared", F.sum("times").over(own))
+    left = F.sum("times").over(own.orderBy(F.desc("size"), "gid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("left", left).filter((F.col("shared") >= F.col("surplus")) & (2 * F.col("left") > F.col("surplus") - 1))
+    return rows.select("gid", "doc_id")
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of the links of at least ``percent`` % Jaccard similarity.
 
-    buckets: parts of the signature space, each sorted in one task's memory; by default the
-    session's number of shuffle partitions, which a cluster sets by the size of its data.
+    buckets: parts of the signature space, each sorted in one task's memory; by default their number
+    follows the bytes of the texts, which are counted first.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = buckets or partitions(docs.sparkSession)
-    nodes = materialise(docs.mapInArrow(_nodes(k), "doc_id long, n_shingles long, sketch binary"), "jaccard-nodes")
+    buckets = buckets or max(partitions(spark), -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    nodes = materialise(docs.mapInArrow(_nodes(k, percent), "doc_id long, n_shingles long, surplus long, sketch binary"), "jaccard-nodes")
     packed = docs.mapInArrow(_packed(k, percent, buckets), "bucket long, docs binary, counts binary, sigs binary")
-    groups = packed.groupBy("bucket").applyInArrow(_shared, "members array<bigint>, copies boolean")
+    groups = packed.groupBy("bucket").applyInArrow(_shared, "members array<bigint>, times long")
     groups = materialise(groups, "jaccard-groups")
-    first = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, 2**31 - 1)).alias("b"), "copies")
-    certain = first.filter("copies").select("a", "b")
-    stars = first.filter("not copies").select("a", "b").distinct()
+    certain = groups.filter("times = 0").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
     size = nodes.filter("doc_id is not null")
+    members = materialise(thinned(groups.filter("times > 0"), size), "jaccard-members")
+    first = members.groupBy("gid").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).filter("size > 1")
+    stars = members.join(first, "gid").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     told = stars.join(size.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
     told = told.join(size.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-    likely = told.mapInArrow(_may_link(percent), "a long, b long").distinct()
+    likely = told.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).mapInArrow(_may_link(percent), "a long, b long").distinct()
     links = materialise(_verified(docs, likely, k, percent).union(certain), "jaccard-links")
     found = components(links, "jaccard")
-    named = size.select("doc_id", "n_shingles", "sketch").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = size.select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     named = materialise(named, "jaccard-named")
-    open_ = groups.filter("not copies and size(members) > 2").select("members").distinct()
-    open_ = open_.select(F.xxhash64("members", F.size("members")).alias("gid"), F.col("members")[0].alias("rep"), F.size("members").alias("size"), F.explode("members").alias("doc_id"))
-    labelled = open_.join(named.select("doc_id", "component"), "doc_id")
+    labelled = members.join(first, "gid").filter("size > 2").join(named, "doc_id")
     mixed = labelled.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    spread = labelled.select("gid", "rep", "doc_id", "size").join(mixed, "gid").join(named, "doc_id")
+    spread = labelled.join(mixed, "gid").withColumnRenamed("a", "rep").select("rep", "gid", "size", "doc_id")
+    deals = spread.groupBy("rep").agg(F.ceil(F.count("*") / TASK_ROWS).alias("deals"))  # a first member of very many groups is dealt to several tasks
+    spread = spread.join(deals, "rep").withColumn("deal", F.pmod(F.xxhash64("gid"), F.col("deals")))
     spread = spread.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    spread = spread.select("rep", "gid", "i", "j", "block", "doc_id", "n_shingles", "sketch", "component").repartition("rep", "i", "j").sortWithinPartitions("rep", "gid", "i", "j", "doc_id")
-    cross = spread.mapInArrow(_across(percent), "a long, b long").distinct()
+    spread = materialise(spread.select("rep", "deal", "i", "j", "gid", "block", "doc_id"), "jaccard-spread")
+    key = ["rep", "deal", "i", "j"]
+    # rows that share an id and differ have no one size or sketch: theirs are left empty, which rules nothing out
+    one = F.count_distinct("n_shingles", "sketch") == 1
+    profile = size.groupBy("doc_id").agg(F.when(one, F.max("n_shingles")).otherwise(F.lit(0)).alias("n_shingles"), F.when(one, F.max("sketch")).otherwise(F.lit(b"")).alias("sketch"))
+    beside = spread.select(*key, "doc_id").distinct().join(profile, "doc_id").join(named, "doc_id")
+    beside = beside.select(*[F.col(c).alias(c) for c in beside.columns])
+    cross = beside.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(_across(percent), "a long, b long").distinct()
     more = _verified(docs, cross.join(links, ["a", "b"], "left_anti"), k, percent)
     more = more.join(named.select(F.col("doc_id").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("component").alias("cb")), "b")
     merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "jaccard-merge").select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    final = named.select("doc_id", "component").distinct().join(merged, "component", "left").select("doc_id", F.coalesce("merged", "component").alias("component_id"))
-    final = final.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    final = named.join(merged, "component", "left").select("doc_id", F.coalesce("merged", "component").alias("component_id"))
     return nodes.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", "component_id")

@@ -60,13 +60,18 @@ def chained(values: np.ndarray, k: int) -> np.ndarray:
     return joined(out, np.full(1, k, U))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: chained over lanes of eight bytes, or BLAKE2 for long spans."""
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z made small."""
+    return _LOWER[data]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: chained over lanes of eight bytes, or BLAKE2 for long spans; each salt gives another."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     lanes = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
     lengths = ends - starts
-    out = mix(lengths.astype(U) + KEY)
+    out = mix(lengths.astype(U) + KEY + U(salt * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
     long = lengths > LONG
     todo, at = (np.flatnonzero(~long) if long.any() else slice(None)), 0
     while True:
@@ -77,7 +82,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             break
         todo, at = (more if isinstance(todo, slice) else todo[more]), at + 8
     for i in np.flatnonzero(long).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([salt])).digest(), "little")
     return out
 
 
@@ -88,7 +93,7 @@ class Scan:
     first: n + 1 offsets of each row's words; hashes: a 64-bit hash of each word.
     """
 
-    def __init__(self, data: np.ndarray, rows: np.ndarray, lower: bool, hashed: bool = True):
+    def __init__(self, data: np.ndarray, rows: np.ndarray, lower: bool, hashed: bool = True, salt: int = 0):
         self.data, self.rows = data, rows
         n = len(data)
         solid = ~_WS[data]
@@ -105,7 +110,7 @@ class Scan:
         self.first = np.searchsorted(self.starts, rows)
         self.n_rows = len(rows) - 1
         if hashed:
-            self.hashes = span_hashes(_LOWER[data] if lower else data, self.starts, self.ends)
+            self.hashes = span_hashes(lowered(data) if lower else data, self.starts, self.ends, salt)
 
     def begins(self, k: int) -> np.ndarray:
         """First word (numbered in this scan) of every window of ``k`` words within one row."""
@@ -157,13 +162,13 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def scans(column: pa.Array, lower: bool = False, hashed: bool = True) -> Iterator[tuple[int, Scan]]:
+def scans(column: pa.Array, lower: bool = False, hashed: bool = True, salt: int = 0) -> Iterator[tuple[int, Scan]]:
     """For each slice of the column: the number of its first row, and its scan."""
     if not len(column):
         return
     data, offsets = utf8(column)
     for lo, hi in slices(offsets):
-        yield lo, Scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, hashed)
+        yield lo, Scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, hashed, salt)
 
 
 def release() -> None:
