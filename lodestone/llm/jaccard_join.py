@@ -55,7 +55,9 @@ SEEDS = 64
 #: members of a group that are compared in one block, and rows sent to the driver's broadcast at most
 BLOCK, BROADCAST_ROWS = 4096, 1_000_000
 #: rows of groups that a task compares at once, and pairs that it holds before it drops those it has twice
-TASK_ROWS, GIVEN = 200_000, 1_000_000
+TASK_ROWS, GIVEN = 1_000_000, 1_000_000
+#: classes a feature, at least, of the sketches that decide pairs across components
+FINE = 16
 #: bytes of signatures that a bucket is meant to hold
 BUCKET_BYTES = 8 << 20
 
@@ -133,9 +135,9 @@ def signatures(features: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(features: np.ndarray) -> bytes:
-    """A bit for each hash class that holds a feature, of two to four classes a feature."""
-    classes = 1 << max(6, (2 * len(features) - 1).bit_length())
+def sketch(features: np.ndarray, fine: int = 2) -> bytes:
+    """A bit for each hash class that holds a feature, of ``fine`` to twice as many classes a feature."""
+    classes = 1 << max(6, (fine * len(features) - 1).bit_length())
     held = np.zeros(classes, np.uint8)
     held[(features & U(classes - 1)).astype(np.int64)] = 1
     return np.packbits(held, bitorder="little").tobytes()
@@ -351,7 +353,8 @@ def _across(percent: int):
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         lo = 0
         while lo < len(cut):
-            hi = max(lo + 1, int(np.searchsorted(ends, cut[lo] + 2 * BLOCK, "right")))
+            # all groups at once if their documents are few, so that each pair is looked at once
+            hi = len(cut) if len(known) <= 2 * BLOCK else max(lo + 1, int(np.searchsorted(ends, cut[lo] + 2 * BLOCK, "right")))
             at = slice(int(cut[lo]), int(ends[hi - 1]))
             names, which = np.unique(doc[at], return_inverse=True)
             row = np.searchsorted(known, names)
@@ -389,14 +392,32 @@ def _features(k: int):
     return run
 
 
+def _profiles(k: int):
+    """Sizes and fine sketches."""
+
+    def run(batches):
+        for b in runs(batches):
+            n, sk = np.zeros(b.num_rows, np.int64), [b""] * b.num_rows
+            for i, own in feature_sets(b.column("text"), k):
+                n[i], sk[i] = len(own), sketch(own, FINE)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(sk, pa.binary())], ["doc_id", "n_shingles", "sketch"])
+
+    return run
+
+
+def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of distinct ids, which are broadcast if they are few."""
+    ids = materialise(ids, "jaccard-used")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.select("doc_id", "text").join(ids, "doc_id")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their whole sets."""
     pairs = materialise(pairs, "jaccard-pairs")
     used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    used = materialise(used, "jaccard-used")
-    if used.count() <= BROADCAST_ROWS:
-        used = F.broadcast(used)
-    sets = docs.select("doc_id", "text").join(used, "doc_id").mapInArrow(_features(k), "doc_id long, features array<bigint>")
+    sets = _some(docs, used).mapInArrow(_features(k), "doc_id long, features array<bigint>")
     sets = materialise(sets, "jaccard-sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("fa")), "a")
@@ -453,7 +474,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, buckets: int |
     key = ["rep", "deal", "i", "j"]
     # rows that share an id and differ have no one size or sketch: theirs are left empty, which rules nothing out
     one = F.count_distinct("n_shingles", "sketch") == 1
-    profile = size.groupBy("doc_id").agg(F.when(one, F.max("n_shingles")).otherwise(F.lit(0)).alias("n_shingles"), F.when(one, F.max("sketch")).otherwise(F.lit(b"")).alias("sketch"))
+    fine = _some(docs, spread.select("doc_id").distinct()).mapInArrow(_profiles(k), "doc_id long, n_shingles long, sketch binary")
+    profile = fine.groupBy("doc_id").agg(F.when(one, F.max("n_shingles")).otherwise(F.lit(0)).alias("n_shingles"), F.when(one, F.max("sketch")).otherwise(F.lit(b"")).alias("sketch"))
     beside = spread.select(*key, "doc_id").distinct().join(profile, "doc_id").join(named, "doc_id")
     beside = beside.select(*[F.col(c).alias(c) for c in beside.columns])
     cross = beside.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(_across(percent), "a long, b long").distinct()
