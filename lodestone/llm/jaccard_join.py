@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, partitions
 from .components import components
-from .words import U, lowered, mix, release, runs, scans, utf8
+from .words import U, gather, lowered, mix, release, runs, scans, utf8
 
 PARTS, SPARE = 3, 1
 _SUBSETS = list(combinations(range(PARTS), PARTS - SPARE))
@@ -58,8 +58,8 @@ BLOCK, BROADCAST_ROWS = 4096, 1_000_000
 TASK_ROWS, GIVEN = 1_000_000, 1_000_000
 #: classes a feature, at least, of the sketches that decide pairs across components
 FINE = 16
-#: bytes of signatures that a bucket is meant to hold
-BUCKET_BYTES = 8 << 20
+#: bytes of texts whose signatures a bucket is meant to hold; with fewer buckets, fewer groups come twice
+BUCKET_BYTES = 32 << 20
 
 
 class Sizes:
@@ -234,27 +234,38 @@ def _shared(table: pa.Table) -> pa.Table:
     if bucket < 0:
         a, b = join("docs", np.int64), join("counts", np.int64)
         return pa.table({"members": pa.array(list(np.stack([a, b], axis=1)), pa.list_(pa.int64())), "times": pa.array([0] * len(a), pa.int64())})
-    docs, counts, sigs = join("docs", np.int64), join("counts", "<u4"), join("sigs", "<u4")
-    order = np.argsort(sigs, kind="stable")
-    sigs = sigs[order]
-    same = np.append(False, sigs[1:] == sigs[:-1])
-    grouped = same.copy()
-    grouped[:-1] |= same[1:]
-    sigs, owner = sigs[grouped], np.repeat(docs, counts)[order[grouped]]
-    groups: dict[bytes, int] = {}
-    if len(sigs):
-        order = np.lexsort((owner, sigs))
-        sigs, owner = sigs[order], owner[order]
-        cuts = np.append(np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1])), len(sigs))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = owner[lo:hi]
-            own = own[np.append(True, own[1:] != own[:-1])]
-            if len(own) > 1:
-                key = own.tobytes()
-                groups[key] = groups.get(key, 0) + 1
-    out = pa.table({"members": pa.array([np.frombuffer(x, np.int64) for x in groups], pa.list_(pa.int64())), "times": pa.array(list(groups.values()), pa.int64())})
+    names, rank = np.unique(join("docs", np.int64), return_inverse=True)
+    # a signature and the rank of its document in one number, sorted in place
+    keys = join("sigs", "<u4").astype(U)
+    keys <<= U(32)
+    keys |= np.repeat(rank.astype(U), join("counts", "<u4"))
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    sig = (keys >> U(32)).astype(np.uint32)
+    same = sig[1:] == sig[:-1]
+    grouped = np.append(same, False) | np.append(False, same) if len(sig) else np.zeros(0, bool)
+    sig, rank = sig[grouped], (keys[grouped] & U(0xFFFFFFFF)).astype(np.int64)
+    del keys, same, grouped
+    if not len(sig):
+        release()
+        return pa.table({"members": pa.array([], pa.list_(pa.int64())), "times": pa.array([], pa.int64())})
+    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    sizes = np.diff(np.append(starts, len(sig)))
+    # equal groups are found by a sum of hashes and told apart by their members
+    sums = np.add.reduceat(mix(mix(names.view(U) + U(1)))[rank], starts) + sizes.astype(U)
+    _, first, which, times = np.unique(sums, return_index=True, return_inverse=True, return_counts=True)
+    like = first[which]
+    other = sizes != sizes[like]
+    full = np.flatnonzero(~other)
+    differ = gather(rank, starts[full], sizes[full]) != gather(rank, starts[like[full]], sizes[full])
+    other[full] = np.add.reduceat(differ, np.cumsum(sizes[full]) - sizes[full]) > 0
+    odd = np.flatnonzero(other)
+    pick = np.concatenate([first, odd])
+    times = np.concatenate([times - np.bincount(which[odd], minlength=len(first)), np.ones(len(odd), np.int64)])
+    values = names[gather(rank, starts[pick], sizes[pick])]
+    members = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes[pick]))), pa.int32()), pa.array(values))
     release()
-    return out
+    return pa.table({"members": members, "times": pa.array(times, pa.int64())})
 
 
 def _may_link(percent: int):
