@@ -120,13 +120,19 @@ def paragraphs(text: C) -> Column:
 def top_counts(found: Column, n: int) -> Column:
     """The n most frequent strings of an array, ties by first occurrence.
 
-    Each distinct string is counted in a pass over the array; long texts are better exploded and counted by group.
+    The strings are sorted with their places, and the lengths of equal stretches are the counts.
     """
     def ranked(all_: Column) -> Column:
-        scored = F.transform(F.array_distinct(all_), lambda w: F.struct((-F.size(F.filter(all_, lambda x: x == w))).alias("n"), F.array_position(all_, w).alias("at"), w.alias("w")))
+        first = lambda x, i: (i == 0) | (F.get(all_, i - 1)["w"] != x["w"])
+        heads = F.filter(F.transform(all_, lambda x, i: F.when(first(x, i), i)), lambda i: i.isNotNull())
+        return let(heads, lambda starts: counted(all_, starts))
+
+    def counted(all_: Column, starts: Column) -> Column:
+        n_of = lambda i, k: F.coalesce(F.get(starts, k + 1), F.size(all_)) - i
+        scored = F.transform(starts, lambda i, k: F.struct((-n_of(i, k)).alias("n"), F.get(all_, i)["at"].alias("at"), F.get(all_, i)["w"].alias("w")))
         return F.transform(F.slice(F.array_sort(scored), 1, n), lambda s: s["w"])
 
-    return let(found, ranked)
+    return let(F.array_sort(F.transform(found, lambda w, at: F.struct(w.alias("w"), at.alias("at")))), ranked)
 
 
 def keywords(text: C, n: int = 10, least: int = 5) -> Column:

@@ -49,13 +49,7 @@ def token_estimate(spark, d):
  c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS p FROM w GROUP BY doc_id, word), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS k FROM c)
  SELECT d.doc_id, coalesce((SELECT string_agg(word, ' ' ORDER BY k) FROM r WHERE r.doc_id = d.doc_id AND k <= 10), '') AS keywords FROM documents d""")
 def keywords_top10(spark, d):
-    """By counting exploded words, with a rank limit a document, so long texts cost no more than their words."""
-    docs = _t(spark, d, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{5,})"), 1)).alias("p", "word"))
-    counted = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("p").alias("p"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "p"))
-    top = counted.withColumn("k", rank).filter("k <= 10").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("keywords"))
-    return docs.select("doc_id").join(top, "doc_id", "left").select("doc_id", F.coalesce("keywords", F.lit("")).alias("keywords"))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(F.coalesce(T.keywords("text"), F.array().cast("array<string>")), " ").alias("keywords"))
 
 
 @query("""WITH c AS (SELECT doc_id, length(text) AS total, unnest(string_split(lower(text), '')) AS ch FROM documents), g AS (SELECT doc_id, count(*) / any_value(total)::DOUBLE AS p FROM c WHERE ch <> '' GROUP BY doc_id, ch)
@@ -130,17 +124,9 @@ def vector_search_filtered(spark, d):
     return hits.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 8),
- r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
-def vector_search_batch(spark, d):
-    rows = _t(spark, d, "embeddings")
-    asked = rows.filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.search_batch(rows, asked, 5, key="vec_id").select("query_id", "vec_id", "rank")
-
-
 @query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
-def vector_search_batch_whole(spark, d):
+def vector_search_batch(spark, d):
     """Every row whose id is divisible by 20 against all rows."""
     rows = _t(spark, d, "embeddings")
     asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -193,13 +179,13 @@ def last_turns(spark, d):
 
 
 def _facts(spark, d):
-    rows = _t(spark, d, "conversations").select(F.col("role").alias("fact_key"), F.substring("text", 1, 12).alias("fact_value"), F.concat(F.lit("conv"), F.col("conv_id")).alias("source"), (F.col("turn") / 10).cast("string").alias("confidence"), F.lit(None).cast("string").alias("metadata_json"), (F.col("conv_id") * 10 + F.col("turn")).alias("seq"), (F.col("conv_id") * 10 + F.col("turn")).cast("double").alias("at"))
+    rows = _t(spark, d, "conversations").select(F.col("role").alias("fact_key"), F.col("text").alias("fact_value"), F.concat(F.lit("conv"), F.col("conv_id")).alias("source"), (F.col("turn") / 10).cast("string").alias("confidence"), F.lit(None).cast("string").alias("metadata_json"), (F.col("conv_id") * 10 + F.col("turn")).alias("seq"), (F.col("conv_id") * 10 + F.col("turn")).cast("double").alias("at"))
     old = rows.filter("seq % 3 = 0")
     stored = old.groupBy("fact_key", "fact_value").agg(F.min_by("source", "seq").alias("source"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("metadata_json"), F.lit(0.0).alias("created_at"), F.lit(0.0).alias("updated_at"))
     return stored, rows.filter("seq % 3 <> 0")
 
 
-_FACTS = """WITH rows AS (SELECT role AS fact_key, substr(text, 1, 12) AS fact_value, 'conv' || conv_id AS source, turn / 10.0::DOUBLE AS confidence, conv_id * 10 + turn AS seq FROM conversations),
+_FACTS = """WITH rows AS (SELECT role AS fact_key, text AS fact_value, 'conv' || conv_id AS source, turn / 10.0::DOUBLE AS confidence, conv_id * 10 + turn AS seq FROM conversations),
  stored AS (SELECT fact_key, fact_value, arg_min(source, seq) AS source FROM rows WHERE seq % 3 = 0 GROUP BY ALL),
  fresh AS (SELECT fact_key, trim(fact_value, ' ') AS fact_value, source, confidence, seq FROM rows WHERE seq % 3 <> 0 AND trim(fact_value, ' ') <> '')"""
 
@@ -366,14 +352,8 @@ def structured_pages(spark, d):
     return ranked.select("page_id", "content_type", "content_quality_score", "sentences_count", "content_word_count", "confidence_score")
 
 
-@query("SELECT doc_id, 1 AS page, count(*) AS n_words FROM (SELECT doc_id, unnest(" + _WORDS + ") AS w FROM documents WHERE doc_id < 50) GROUP BY doc_id")
+@query("SELECT doc_id, 1 AS page, count(*) AS n_words FROM (SELECT doc_id, unnest(" + _WORDS + ") AS w FROM documents) GROUP BY doc_id")
 def page_lines(spark, d):
-    return _page_words(_t(spark, d, "documents").filter("doc_id < 50"))
-
-
-@query()
-def page_lines_whole(spark, d):
-    """All documents; tested against brute force."""
     return _page_words(_t(spark, d, "documents"))
 
 

@@ -14,6 +14,8 @@ from ..functions import text as T
 
 #: fixed values: extensions that a folder walk takes
 EXTENSIONS = ["pdf", "docx", "html", "htm", "txt", "md", "csv", "py", "js", "java", "json"]
+#: formats that a walk finds and no loader here reads
+UNREAD = ["pdf"]
 NODES = "doc_id string, node_ord int, node_type string, heading string, level int, content string"
 CODE = r"(?m)^(?=(?:def|class)\s+\w+)"
 
@@ -69,6 +71,8 @@ def _csv_rows(content: pd.Series) -> pd.Series:
     import csv
     import io
 
+    csv.field_size_limit(2**31 - 1)
+
     def rows(b):
         text = bytes(b or b"").decode("utf-8", "ignore")
         return [[str(c) for c in r] for r in csv.reader(io.StringIO(text), delimiter=sniff_delimiter(text))]
@@ -229,6 +233,12 @@ def _docx_nodes(content: pd.Series) -> pd.Series:
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
     def one(b):
+        try:
+            return nodes(b)
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError, TypeError) as e:
+            return [{"node_type": "error", "heading": None, "level": 1, "content": f"{type(e).__name__}: {e}"}]
+
+    def nodes(b):
         with zipfile.ZipFile(io.BytesIO(bytes(b))) as z:
             body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
         out, tables = [], []
@@ -252,7 +262,7 @@ def _docx_nodes(content: pd.Series) -> pd.Series:
 
 
 def load_docx(files: DataFrame) -> DataFrame:
-    """Paragraphs, headings and, after them, tables; a list item begins with a bullet."""
+    """Paragraphs, headings and, after them, tables; a list item begins with a bullet; a file that can't be read is one node of type error."""
     nodes = files.select(F.col("path").alias("doc_id"), F.posexplode(_docx_nodes("content")).alias("node_ord", "_n"))
     return nodes.select("doc_id", "node_ord", "_n.node_type", "_n.heading", "_n.level", "_n.content")
 

@@ -11,20 +11,24 @@ GAP, MARGIN = 3.0, 50.0
 
 
 def lines(words: DataFrame) -> DataFrame:
-    """Lines of words: a new one where the top moves by the gap or more from the word before; words by x, joined by spaces."""
-    w = Window.partitionBy("doc_id", "page").orderBy(F.round("top", 1), "x0", "text")
-    new = F.when(F.abs(F.col("top") - F.lag("top").over(w)) < GAP, 0).otherwise(1)
+    """Lines of words: a new one where the top, to a tenth, moves by the gap or more from the word before; words by x, joined by spaces.
+
+    y is the top of a line's last word, to a tenth.
+    """
+    words = words.withColumn("y", F.round("top", 1))
+    w = Window.partitionBy("doc_id", "page").orderBy("y", "x0", "text")
+    new = F.when(F.round(F.abs(F.col("y") - F.lag("y").over(w)), 6) < GAP, 0).otherwise(1)
     numbered = words.withColumn("_new", new).withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.sort_array(F.collect_list(F.struct("x0", "text")))
-    boxes = [F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("page_height").alias("page_height")]
+    boxes = [F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("page_height").alias("page_height"), F.max("y").alias("y")]
     return numbered.groupBy("doc_id", "page", "line").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), *boxes)
 
 
-def is_header_footer(text: Column, top: Column, height: Column) -> Column:
+def is_header_footer(text: Column, y: Column, height: Column) -> Column:
     hit = F.lit(False)
     for p in BOILERPLATE:
-        hit = hit | text.rlike(p)
-    return ((top < MARGIN) | (top > height - MARGIN)) & hit
+        hit = hit | F.trim(text).rlike(p)
+    return ((y < MARGIN) | (y > height - MARGIN)) & hit
 
 
 def is_heading(text: Column) -> Column:
@@ -41,17 +45,18 @@ def heading_level(text: Column) -> Column:
 
 
 def fix_hyphens(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "­\\s*", ""), r"(\p{L})-\n(\p{L})", "$1$2")
+    soft = F.regexp_replace(text, r"(?U)(\w)\x{AD}\s*(\w)", "$1$2")
+    return F.regexp_replace(soft, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
 
 
 def blocks(words: DataFrame) -> DataFrame:
     """Headings and paragraphs of pages in order: consecutive paragraph lines are joined by a space."""
-    kept = lines(words).filter(~is_header_footer(F.col("text"), F.col("top"), F.col("page_height"))).withColumn("kind", F.when(is_heading(F.col("text")), "heading").otherwise("paragraph"))
+    kept = lines(words).filter(~is_header_footer(F.col("text"), F.col("y"), F.col("page_height"))).withColumn("kind", F.when(is_heading(F.col("text")), "heading").otherwise("paragraph"))
     w = Window.partitionBy("doc_id", "page").orderBy("line")
     new = F.when((F.col("kind") == "paragraph") & (F.lag("kind").over(w) == "paragraph"), 0).otherwise(1)
     numbered = kept.withColumn("_new", new).withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ")
-    out = numbered.groupBy("doc_id", "page", "block", "kind").agg(fix_hyphens(joined).alias("content"), F.min("top").alias("top"))
+    out = numbered.groupBy("doc_id", "page", "block", "kind").agg(fix_hyphens(joined).alias("content"), F.min("y").alias("y"))
     return out.withColumn("level", F.when(F.col("kind") == "heading", heading_level(F.col("content"))))
 
 

@@ -97,8 +97,8 @@ def test_batch_search_takes_every_twentieth_row(spark):
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-    want = con.execute(Q.SQL["vector_search_batch_whole"]).fetchall()
-    assert sorted(map(tuple, Q.vector_search_batch_whole(spark, SF).collect())) == sorted(want) and len(want) == 25 * 5
+    want = con.execute(Q.SQL["vector_search_batch"]).fetchall()
+    assert sorted(map(tuple, Q.vector_search_batch(spark, SF).collect())) == sorted(want) and len(want) == 25 * 5
 
 
 def test_context_stops_at_the_first_overflow(spark):
@@ -152,7 +152,61 @@ def test_page_lines(spark):
 def test_page_lines_of_every_document(spark, tmp_path):
     rows = [(i, " ".join(f"w{j}" for j in range(i % 37))) for i in range(40, 140)] + [(200, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(map(tuple, Q.page_lines_whole(spark, str(tmp_path)).collect())) == [(i, 1, i % 37) for i in range(40, 140) if i % 37]
+    assert sorted(map(tuple, Q.page_lines(spark, str(tmp_path)).collect())) == [(i, 1, i % 37) for i in range(40, 140) if i % 37]
+
+
+def test_line_gaps_and_margins_use_tenths(spark):
+    rows = [("d", 1, 800.0, 100.0, 110.0, 10.0, 20.0, "one"), ("d", 1, 800.0, 102.96, 112.0, 30.0, 40.0, "two"), ("d", 1, 800.0, 105.9, 115.0, 10.0, 20.0, "three"), ("d", 1, 800.0, 49.96, 60.0, 10.0, 20.0, "Confidential")]
+    words = spark.createDataFrame(rows, "doc_id string, page int, page_height double, top double, bottom double, x0 double, x1 double, text string")
+    assert sorted((r.text, r.y) for r in pdf.lines(words).collect()) == [("Confidential", 50.0), ("one", 100.0), ("three two", 105.9)]
+    assert any("Confidential" in r.content for r in pdf.blocks(words).collect())
+    got = spark.createDataFrame([("co\u00ad op1-\n 2x a-b",)], "t string").select(pdf.fix_hyphens(F.col("t"))).first()[0]
+    assert got == "coop12x a-b"
+
+
+def test_coherence_of_folds():
+    gaps = [0.1, 0.9, 0.2, 0.8, 0.3, 0.7, 0.4]
+    found = chunking.fold_sentences(["w " * 10] * 8, gaps, (20, 13, 50, 10, 100))
+    assert [round(c, 6) for _, c in found] == [0.1, 0.5, 0.55, 0.5, 0.55, 0.5, 0.55, 0.55]
+    whole = chunking.fold_sentences(["w " * 10] * 3, [0.2, 0.4], (600, 120, 0, 100, 1000))
+    assert [round(c, 6) for _, c in whole] == [0.3]
+
+
+def test_ingest_stores_replaces_and_reports(spark, tmp_path):
+    src, store = tmp_path / "in", f"file://{tmp_path}/store"
+    src.mkdir()
+    (src / "a.txt").write_text("The quick brown fox jumps over the lazy dog near the river bank. " * 8)
+    (src / "b.txt").write_text("Another text about quiet rivers and long walks along their banks in spring. " * 8)
+    (src / "bad.docx").write_bytes(b"no archive")
+    (src / "c.pdf").write_bytes(b"%PDF-1.4")
+    (src / "wide.csv").write_text("x,y\n1," + "z" * 200_000)
+    chunks, state, counters = pipelines.ingest(spark, [str(src)], min_quality=0.0, store=store)
+    row = counters.first()
+    assert (row.new_files, row.failed_files, row.chunks_indexed) == (5, 2, chunks.count())
+    assert {os.path.basename(r.path): r.chunk_count > 0 for r in state.collect()} == {"a.txt": True, "b.txt": True, "wide.csv": True}
+    assert tracking.load_chunks(spark, store).count() == chunks.count()
+    state.cache().count()
+    (src / "a.txt").write_text("Now a wholly different story of mountains and snow that nobody has told yet. " * 8)
+    again, state2, counters = pipelines.ingest(spark, [str(src)], state, min_quality=0.0, store=store)
+    assert (counters.first().updated_files, counters.first().failed_files) == (1, 2)
+    stored = tracking.load_chunks(spark, store)
+    own = [r.chunk_text for r in stored.collect() if r.source_document.endswith("a.txt")]
+    assert own and all("mountains" in t and "fox" not in t for t in own)
+    assert {os.path.basename(r.source_document) for r in stored.select("source_document").distinct().collect()} == {"a.txt", "b.txt", "wide.csv"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["keywords_top10", "page_lines", "upsert_facts", "upsert_counts"])
+def test_whole_table_queries_agree_with_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = Q.QUERIES[name](spark, SF)
+    cols = sorted(found.columns)
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({Q.SQL[name]})").fetchall()
+    assert sorted(map(tuple, found.select(*cols).collect()), key=str) == sorted(want, key=str)
 
 
 def test_pages_rank(spark):
