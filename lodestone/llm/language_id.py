@@ -7,11 +7,12 @@ their number. Families come from a fixed table; a language that it lacks is a fa
 
 Models are fitted on the driver to at most ``PER_LANGUAGE`` texts of each language (a documented
 bound), those of least hash of their id among the rows whose ids are not held out. The tables are
-small and of fixed size for each pair of classes.
+small and of fixed size for each pair of classes; a pair's machine sees its two classes' texts alone.
 
 Defined cases: null texts and texts without letters are ``und`` with score 1; with no labelled text
 every text is ``und`` with score 0; a single language is predicted for all with score 1; rows that
-repeat and null ids are predicted like any other; other columns are ignored.
+repeat and null ids are predicted like any other; of rows that share an id and are picked one is
+learnt from; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,14 +126,14 @@ class Model:
             x = features([texts[i] for i in order])
             scale = x.std(axis=0) + 1e-4
             x /= scale
-            kernel = (x @ x.T).astype(np.float64)
             y = np.array(langs)
             kin = np.array([family(v) for v in langs])
             for name, classes, labels in [("", self.families, kin), *((f, m, y) for f, m in self.members.items())]:
                 pairs = []
                 for a, b in combinations(range(len(classes)), 2):
                     of = np.flatnonzero((labels == classes[a]) | (labels == classes[b]))
-                    part, offset = fit_svm(kernel[np.ix_(of, of)], np.where(labels[of] == classes[a], 1.0, -1.0))
+                    kernel = (x[of] @ x[of].T).astype(np.float64)  # of these two classes' samples alone
+                    part, offset = fit_svm(kernel, np.where(labels[of] == classes[a], 1.0, -1.0))
                     pairs.append((a, b, len(columns)))
                     columns.append((part.astype(np.float32) @ x[of]) / scale)
                     self.offsets.append(offset)

@@ -139,7 +139,7 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = O
         dealt_to = lambda n: F.expr(f"shiftright(deal, {PIECE_BITS}) * {n}L div {places}L").cast("int")
         own_name = lambda ahead: F.col("first_deal")
     else:
-        key = F.xxhash64("doc_id", *[c for c in names if c in ("piece", "ids_crc32")])
+        key = F.xxhash64("doc_id", *[c for c in names if c in ("piece", "ids_crc32")], F.monotonically_increasing_id())  # so equal rows part
         dealt_to = lambda n: F.pmod(F.shiftright("deal", 20), F.lit(n)).cast("int")
         own_name = lambda ahead: F.lit(ahead * (1 << 56)) + F.col("task").cast("long") * stride + F.col("bin")
     full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", key if order else -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(*names, "sequence_id", "offset")

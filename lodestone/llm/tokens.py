@@ -21,6 +21,8 @@ from tokenizers import Tokenizer
 from .words import U, gather, slices, span_hashes, utf8
 
 CACHE_ENTRIES = 200_000
+#: bytes up to which a piece's merges are made beside others'; a merge a round would take long pieces too long
+LONG_PIECE = 256
 SLICE_BYTES = 1 << 20
 #: fixed values: the split pattern and normalisers for which the cut into pieces below is right
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -233,16 +235,17 @@ class Encoder:
         return np.flatnonzero(wrong)
 
     def _piece(self, low, data, odd: bool) -> np.ndarray:
-        if odd:
+        if odd or len(low) > LONG_PIECE:
             return np.array(self._whole(data.tobytes().decode()), np.int64)
         return self.merger.encode(low, np.array([len(low)]))[0]
 
     def _learn(self, hashes, spots, starts, ends, odd, data, low) -> None:
         sizes, lengths = np.zeros(len(hashes), np.int64), ends - starts
-        ids, sizes[~odd] = self.merger.encode(gather(low, starts[~odd], lengths[~odd]), lengths[~odd])
-        parts, at = [ids], np.cumsum(np.where(odd, 0, sizes)) - np.where(odd, 0, sizes)
+        alone = odd | (lengths > LONG_PIECE)
+        ids, sizes[~alone] = self.merger.encode(gather(low, starts[~alone], lengths[~alone]), lengths[~alone])
+        parts, at = [ids], np.cumsum(sizes) - sizes
         total = len(ids)
-        for i in np.flatnonzero(odd).tolist():
+        for i in np.flatnonzero(alone).tolist():
             own = self._whole(data[starts[i] : ends[i]].tobytes().decode())
             parts.append(np.array(own, np.int64))
             at[i], sizes[i] = total, len(own)

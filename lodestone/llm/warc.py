@@ -14,7 +14,7 @@ responses. Digests are computed and their groups' largest ids found by Spark bef
 Defined cases: null html is an empty payload; a null page_id takes part in no group and is a
 response; pages that share id and payload are one response and, for the others, revisits of that
 id only if another id is larger, so repeated rows are all responses; null URLs are written as
-``urn:page:<id>``; other columns are ignored.
+``urn:page:<id>``, and white space in a URL in percent form (the index keeps the page's own URL); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -60,7 +61,7 @@ def _head(kind: str, page_id, url: str, digest: str, refers, block: bytes) -> by
 
 
 def _clean(url: str | None, page_id) -> str:
-    return "".join(url.split()) if url and url.strip() else f"urn:page:{page_id}"
+    return "".join(quote(c) if c.isspace() else c for c in url) if url and url.strip() else f"urn:page:{page_id}"
 
 
 def _write(folder: str):
@@ -85,7 +86,7 @@ def _write(folder: str):
                     out.write(block)
                     out.write(b"\r\n\r\n")
                     size = len(head) + len(block) + 4
-                    for c, v in zip(rows, (page_id, target, path, at, size, digest, kind), strict=True):
+                    for c, v in zip(rows, (page_id, url, path, at, size, digest, kind), strict=True):
                         rows[c].append(v)
                     at += size
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -562,3 +562,77 @@ def test_rows_of_one_id_are_cut_by_their_own_texts(spark):
     rows = [(1, long_text), (1, "x y " + long_text), (1, long_text), (1, "short"), (2, long_text + " z")]
     found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found) == kept_words(rows)
+
+
+def slow_prediction(model, text):
+    """Language and score by counting the grams of one text one by one."""
+    raw, small = text.encode(), []
+    lowered = bytearray(raw)
+    for i, b in enumerate(raw):
+        if 65 <= b <= 90:
+            lowered[i] += 32
+        if i and raw[i - 1] == 0xC3 and 0x80 <= b < 0x9F and b != 0x97:
+            lowered[i] += 0x20
+    for b in lowered:
+        letter = 97 <= b <= 122 or b >= 128
+        if letter or not small or small[-1] != 32:
+            small.append(b if letter else 32)
+    spread = lambda x, k: ((x + (k << 24)) * 2654435761 % 2**32) >> (32 - language_id.BITS)
+    sums = np.zeros(model.table.shape[1])
+    for i, c in enumerate(small):
+        b1, b2 = small[i - 1] if i else 32, small[i - 2] if i > 1 else 32
+        for k, gram in ((1, c), (2, c | b1 << 8), (3, c | b1 << 8 | b2 << 16)):
+            sums += model.table[spread(gram, k)]
+    values = sums / len(small) + np.array(model.offsets)
+
+    def vote(classes, pairs):
+        votes, margins, worst = Counter(), Counter(), {}
+        for a, b, col in pairs:
+            m = values[col]
+            votes[a if m >= 0 else b] += 1
+            margins[a] += math.tanh(m)
+            margins[b] -= math.tanh(m)
+        best = max(range(len(classes)), key=lambda i: (votes[i] + margins[i] / (4 * len(classes)), -i))
+        own = [m if a == best else -m for a, b, col in pairs for m in [values[col]] if best in (a, b)]
+        return classes[best], 1 / (1 + math.exp(-2 * max(-20, min(20, min(own))))) if own else 1.0
+
+    kin, sure = vote(model.stages[0][1], model.stages[0][2])
+    lang, conf = next(vote(classes, pairs) for name, classes, pairs in model.stages[1:] if name == kin)
+    return lang, sure * conf
+
+
+def test_language_id_against_slow_counts(spark):
+    rng = __import__("random").Random(4)
+    words = {"en": "the of and that with THIS", "de": "der die und nicht für ÜBER", "nl": "het een van niet voor zijn", "fr": "les des une dans être ÉTÉ", "es": "los que una para años"}
+    rows = [(i, " ".join(rng.choice(words[lang].split()) + rng.choice(["", ",", " 12", "\n"]) for _ in range(rng.randint(1, 40))), lang) for i in range(400) for lang in [rng.choice(list(words))]]
+    rows += [(900, "x", "en"), (901, "Ü", None), (902, "word " * 50_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", __import__("pyspark").sql.functions.lit("clash")).repartition(3)
+    model = language_id.fit(df)
+    found = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    for d, text, _ in rows:
+        lang, score = slow_prediction(model, text)
+        assert found[d].lang_pred == lang and math.isclose(found[d].score, score, rel_tol=1e-3, abs_tol=1e-4)
+
+
+def test_packing_of_equal_rows(spark):
+    """Rows that are all alike are packed as tightly as others."""
+    df = spark.createDataFrame([(None, "one two three")] * 500, "doc_id long, text string").repartition(4)
+    used, least = check_packing(packing.best_fit_packing(df, capacity=64, open_bins=8).collect(), [(None, "one two three")] * 500, 64)
+    size = len(__import__("tokenizers").Tokenizer.from_file(tokens.default_path()).encode("one two three", add_special_tokens=False).ids) + 1
+    assert used <= -(-500 // (64 // size)) + 1
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes, one of a single word, and short ones, through every operator on texts."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(5000)])
+    long_text, one = " ".join(words[rng.integers(0, 5000, 300_000)]), "ab" * 500_000
+    rows = [(1, long_text, "en", "s", 0, "h", "k", 1), (2, long_text + " end", "en", "s", 0, "h", "k", 1), (3, one, "de", "s", 0, "h", "k", 1), (4, "short text", "de", None, 0, "h", "k", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs).collect()}[2] == 300_000
+    assert {r.doc_id: r.n_words for r in quality_rules.quality_rules(docs).collect()} == {1: 300_000, 2: 300_001, 3: 1, 4: 2}
+    pieces = packing.best_fit_packing(docs).collect()
+    assert sum(r.length for r in pieces) == sum(r.n_tokens for r in materialise_tokens.write_shards(docs).collect()) and max(r.length for r in pieces) == packing.CAPACITY
+    assert {r.doc_id for r in language_id.identify(docs).collect()} == {1, 2, 3, 4}
+    assert {r.n_spans for r in pii.find_pii(docs).collect()} == {0}

@@ -8,8 +8,10 @@ import pytest
 import corpus_pipeline
 from lodestone.llm import mixing, packing
 
-from .cases import DOCS, documents
-from .test_operators import check_packing, mixed_by_hand
+from lodestone.llm import pii, quality_rules
+
+from .cases import DOCS, components, documents
+from .test_operators import check_packing, mixed_by_hand, quality_of
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +54,39 @@ def test_packing_follows_an_order(spark):
     assert [first[k] for k in sorted(first)] == sorted(first.values())
     assert all((*of[r.doc_id], r.piece) >= first[r.sequence_id] for r in known if r.sequence_id in first)
     assert max(Counter(r.sequence_id for r in found).values()) > 1
+
+
+def by_hand(rows):
+    """The documents that the first three stages leave, and the order of the fourth."""
+    hosts = defaultdict(list)
+    for r in rows:
+        hosts[r[3]].append(quality_of(r[1])[-1])
+    m = sum(map(sum, hosts.values())) / len(rows)
+    v = sum(sum(x) ** 2 / len(x) for x in hosts.values()) / len(rows) - m * m
+    strength = max(1.0, m * (1 - m) / v - 1) if v > 1e-12 else len(rows)
+    kept = [r for r in rows if not quality_of(r[1])[-1] and (sum(hosts[r[3]]) + m * strength) / (len(hosts[r[3]]) + strength) <= quality_rules.HOST_RATE]
+    group = components(kept)
+    kept = [r for r in kept if group[r[0]][1] == r[0]]
+    field = pii.trained()
+    return [(r[0], pii.masked(r[1], field), *r[2:]) for r in kept]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    secret = " ".join(f"word{i}" for i in range(60)) + " write to joe@example.com or call +1 (743) 555-3824 now"
+    rows = [(*r[:3], r[3] or "s9", *r[4:]) for r in documents(150, 7)] + [(500, secret, "en", "s1", 1, "h", "k", 1), (501, None, "en", "s1", 1, "h", "k", 1)]
+    rows += [(600 + i, "spam", "en", "spam", 4, "h", "k", 1) for i in range(60)] + [(700, secret.replace("word", "other"), "en", "spam", 1, "h", "k", 1)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = by_hand(rows)
+    assert {500} <= {r[0] for r in left} and not {501, 600, 700} & {r[0] for r in left} and len(left) < len(rows)
+    used, least = check_packing(found, [(r[0], r[1]) for r in left], packing.CAPACITY)
+    assert used <= least + 4
+    want, _ = mixed_by_hand(left, mixing.BLOCK, mixing.FRAME)
+    place = {r[0]: r[4] for r in want}
+    first = {r.sequence_id: place[r.doc_id] for r in found if r.offset == 0}
+    assert [first[k] for k in sorted(first)] == sorted(first.values())
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
