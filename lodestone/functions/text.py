@@ -189,31 +189,33 @@ def quality_score(tokens: C, density: C, entropy: C, s2n: C, coherence: C) -> Co
     rules = [(_c(tokens) < 30, 0.3), (_c(density) < 0.3, 0.2), (_c(entropy) < 0.4, 0.15), (_c(s2n) < 0.7, 0.2), (_c(coherence) < 0.5, 0.15)]
     score = F.lit(1.0)
     for fails, by in rules:
-        score = F.when(fails, score - by).otherwise(score)
+        score = score - F.when(fails, by).otherwise(0.0)  # named once, so that the expression grows by rules only
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
+def first_best(scores: dict[str, Column], least: int, other: str) -> Column:
+    """The name of the highest score, the first of equals; ``other`` below ``least`` or without scores. Each score is computed once."""
+    def pick(h: Column) -> Column:
+        best = F.greatest(*[h[k] for k in scores])
+        out = F.when(best.isNull() | (best < least), other)
+        for k in scores:
+            out = out.when(h[k] == best, k)
+        return out
+
+    return let(F.struct(*[v.alias(k) for k, v in scores.items()]), pick)
+
+
 def content_type(text: C) -> Column:
     """The type with most pattern hits in the first 5 000 characters, the first named of equals; under two hits, mixed."""
     sample = F.substring(_c(text), 1, 5000)
     scores = {k: sum((F.regexp_count(sample, F.lit(f"(?i){p}")) for p in ps), F.lit(0)) for k, ps in CONTENT_TYPES.items()}
-    best = F.greatest(*scores.values())
-    out = F.when(best < 2, "mixed")
-    for k, v in scores.items():
-        out = out.when(v == best, k)
-    return out
+    return first_best(scores, 2, "mixed")
 
 
 def detect_language(text: C) -> Column:
     """Most stop words among the first 1 000 characters' words; none is unknown."""
-    w = F.regexp_extract_all(F.lower(F.substring(_c(text), 1, 1000)), F.lit(r"([\p{L}]+)"), 1)
-    count = lambda stop: F.size(F.filter(w, lambda x: x.isin(stop)))
-    hits = {k: count(stop) for k, stop in STOP_WORDS.items()}
-    best = F.greatest(*hits.values())
-    out = F.when(best.isNull() | (best < 1), "unknown")
-    for k, v in hits.items():
-        out = out.when(v == best, k)
-    return out
+    found = F.regexp_extract_all(F.lower(F.substring(_c(text), 1, 1000)), F.lit(r"([\p{L}]+)"), 1)
+    return let(found, lambda w: first_best({k: F.size(F.filter(w, lambda x: x.isin(stop))) for k, stop in STOP_WORDS.items()}, 1, "unknown"))
 
 
 def quality_signals(text: C) -> Column:
@@ -318,7 +320,10 @@ def sections(text: C) -> Column:
 def extraction_confidence(content: C, method: C) -> Column:
     """Length band, method prior, and three tenths for names, few links and stops; at most 1."""
     content, method = _c(content), _c(method)
-    n = F.size(words(content))
+    return let(F.size(words(content)), lambda n: _confidence(content, method, n))
+
+
+def _confidence(content: Column, method: Column, n: Column) -> Column:
     prior = F.when(method == "trafilatura", 0.95).when(method == "justext", 0.85).when(method == "boilerpy3", 0.8).when(method == "readability", 0.75).otherwise(0.5)
     score = F.when((n > 300) & (n < 8000), 0.3).when(n > 8000, 0.2).otherwise(0.0) + prior
     score = score + F.when(F.regexp_count(content, F.lit(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b")) > 5, 0.1).otherwise(0.0)
@@ -328,7 +333,10 @@ def extraction_confidence(content: C, method: C) -> Column:
 
 
 def page_quality(cleaned: C, confidence: C, n_sections: C, n_paragraphs: C, natural: C) -> Column:
-    n = F.size(words(cleaned))
+    return let(F.size(words(cleaned)), lambda n: _page_quality(n, cleaned, confidence, n_sections, n_paragraphs, natural))
+
+
+def _page_quality(n: Column, cleaned: C, confidence: C, n_sections: C, n_paragraphs: C, natural: C) -> Column:
     length = F.when(n > 1000, 0.4).when(n > 500, 0.3).when(n > 200, 0.2).when(n > 50, 0.1).otherwise(0.0)
     score = F.coalesce(_c(confidence), F.lit(0.0)) * 0.3 + length + F.when(_c(n_sections) > 1, 0.2).otherwise(0.0) + F.when(_c(n_paragraphs) > 5, 0.1).otherwise(0.0) + F.when(_c(natural), 0.1).otherwise(0.0)
     return F.when(F.length(_c(cleaned)) > 0, F.round(F.least(score, F.lit(1.0)), 2)).otherwise(0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialise
 from ..sources.files import extract_candidates
 
 
@@ -17,7 +18,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     keep = [c for c in pages.columns if c != "html"]
     found = pages.select(*keep, extract_candidates("html").alias("_c"))
-    scored = F.transform("_c", lambda c, i: F.struct((T.extraction_confidence(c["content"], c["method"]) * F.size(T.words(c["content"]))).alias("rank"), (-i).alias("first"), T.extraction_confidence(c["content"], c["method"]).alias("confidence"), c["method"].alias("method"), c["content"].alias("content")))
+    confident = F.transform("_c", lambda c, i: F.struct(T.extraction_confidence(c["content"], c["method"]).alias("confidence"), (-i).alias("first"), c["method"].alias("method"), c["content"].alias("content")))
+    scored = F.transform(confident, lambda s: F.struct((s["confidence"] * F.size(T.words(s["content"]))).alias("rank"), s["first"].alias("first"), s["confidence"].alias("confidence"), s["method"].alias("method"), s["content"].alias("content")))
     best = found.select(*keep, F.array_max(scored).alias("_b"))
     out = best.select(*keep, F.col("_b.content").alias("main_content"), F.col("_b.method").alias("method"), F.when(F.col("_b.method") == "fallback", 0.3).otherwise(F.col("_b.confidence")).alias("confidence_score"))
     out = out.withColumn("content_word_count", F.size(T.words("main_content")))
@@ -36,8 +38,12 @@ def structure(records: DataFrame) -> DataFrame:
 
 
 def process_results(records: DataFrame, position: str = "position") -> tuple[DataFrame, DataFrame]:
-    """Structured successful records by quality and position, and the counts."""
-    ranked = structure(records.filter("extraction_status = 'success'")).orderBy(F.desc("content_quality_score"), position)
+    """Structured successful records by quality and position, and the counts.
+
+    The structured records are stored once: a global sort samples its input first, which would compute them twice.
+    """
+    records = materialise(records, "pages-extracted")
+    ranked = materialise(structure(records.filter("extraction_status = 'success'")), "pages-structured").orderBy(F.desc("content_quality_score"), position)
     ok = F.count_if(F.col("extraction_status") == "success")
     return ranked, records.agg(F.count("*").alias("total_input"), ok.alias("successful"), (F.count("*") - ok).alias("failed"), ok.alias("processed"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, dedup, memory, retrieval, tracking, web
+from ..session import spread
 from ..sources import pdf
 from ..streaming import ingest as streaming
 from . import pipelines
@@ -326,29 +327,29 @@ def strip_markup(spark, d):
 
 @query()
 def normalise_text(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.normalised("text").alias("cleaned"))
+    return spread(_t(spark, d, "documents")).select("doc_id", T.normalised("text").alias("cleaned"))
 
 
 @query()
 def text_metrics(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.information_density("text").alias("density"), F.size(T.sentences("text")).alias("sentences"), F.size(T.entities("text")).alias("entities"), T.quality_signals("text").alias("signals"), T.readability("text").alias("readability"))
+    return spread(_t(spark, d, "documents")).select("doc_id", T.information_density("text").alias("density"), F.size(T.sentences("text")).alias("sentences"), F.size(T.entities("text")).alias("entities"), T.quality_signals("text").alias("signals"), T.readability("text").alias("readability"))
 
 
 @query()
 def chunk_documents(spark, d):
-    nodes = _t(spark, d, "documents").select("doc_id", F.lit(0).alias("node_ord"), F.lit("section").alias("node_type"), F.col("text").alias("content"))
+    nodes = spread(_t(spark, d, "documents")).select("doc_id", F.lit(0).alias("node_ord"), F.lit("section").alias("node_type"), F.col("text").alias("content"))
     return chunking.link_neighbours(chunking.chunk_nodes(nodes)).select("doc_id", "chunk_index", "chunk_id", "token_count", "semantic_coherence", "prev_chunk_id", "next_chunk_id")
 
 
 @query()
 def ingest_documents(spark, d):
-    nodes = _t(spark, d, "documents").select("doc_id", F.lit(0).alias("node_ord"), F.lit("section").alias("node_type"), F.col("text").alias("content"))
+    nodes = spread(_t(spark, d, "documents")).select("doc_id", F.lit(0).alias("node_ord"), F.lit("section").alias("node_type"), F.col("text").alias("content"))
     return pipelines.process_nodes(nodes).select("doc_id", "chunk_id", "quality_score", "token_count", "embedding")
 
 
 @query()
 def structured_pages(spark, d):
-    ranked, _ = pipelines.pages(_t(spark, d, "pages"))
+    ranked, _ = pipelines.pages(spread(_t(spark, d, "pages")))
     return ranked.select("page_id", "content_type", "content_quality_score", "sentences_count", "content_word_count", "confidence_score")
 
 

@@ -56,6 +56,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan's rows dealt over all cores if it has fewer than four tasks a core, as a few files of one row group have; else unchanged."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 4 * cores else rows.repartition(cores)
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """The session's number of shuffle partitions, the unit in which bucket counts follow the input's size."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -168,14 +168,26 @@ def _selects(selector: str):
     return lambda tag, a: tag == selector
 
 
+_WANTED = [_selects(s) for s in [*SELECTORS, "body"]]
+
+
 def heuristic_extract(html: str | None) -> str:
-    """The first selected element of over 200 words, else the body."""
-    for s in SELECTORS:
-        found = html_text(html, CHROME, _selects(s))
-        if found and len(found[0].split()) > 200:
-            return found[0]
-    body = html_text(html, CHROME, lambda tag, a: tag == "body")
-    return body[0] if body else ""
+    """The first selected element of over 200 words, else the body; all are gathered in one pass."""
+    firsts: dict[int, int] = {}
+    seen = 0
+
+    def want(tag, attrs):
+        nonlocal seen
+        hits = [k for k, wanted in enumerate(_WANTED) if k not in firsts and wanted(tag, attrs)]
+        firsts.update((k, seen) for k in hits)
+        seen += bool(hits)
+        return bool(hits)
+
+    found = html_text(html, CHROME, want)
+    for k in range(len(SELECTORS)):
+        if k in firsts and len(found[firsts[k]].split()) > 200:
+            return found[firsts[k]]
+    return found[firsts[len(SELECTORS)]] if len(SELECTORS) in firsts else ""
 
 
 def readability_extract(html: str | None) -> str:
