@@ -240,3 +240,21 @@ def test_nothing_else_imports_the_llm_package():
                 if n.endswith(".py"):
                     with open(os.path.join(folder, n), encoding="utf-8") as f:
                         assert "llm" not in re.sub(r'"""[\s\S]*?"""', "", f.read())
+
+
+def test_page_selectors_in_their_order():
+    long_, short = "word " * 250, "few words"
+    page = "<body>head <div class='content'>{} <main>{}</main></div> <nav>menu</nav><article>{}</article></body>"
+    assert files.heuristic_extract(page.format(short, long_, long_)).split() == long_.split()  # main before its outer .content
+    assert files.heuristic_extract(page.format(long_, short, "other " * 201)).split() == ["other"] * 201  # article before .content
+    whole = files.heuristic_extract(page.format(short, short, short)).split()
+    assert whole == ["head", *short.split() * 3]  # no long one: the body without its chrome
+    assert files.heuristic_extract("plain") == "" and files.heuristic_extract(None) == ""
+
+
+def test_chunks_carry_their_own_text_only(spark):
+    nodes = spark.createDataFrame([(1, 0, "table", "a | b"), (1, 1, "section", "Q: What interview is it?\nA: A dialogue.\nQ: Why?\nA: To see."), (1, 2, "section", "")], "doc_id long, node_ord int, node_type string, content string")
+    chunks = chunking.chunk_nodes(nodes)
+    assert "content" not in chunks.columns and "_ready" not in chunks.columns
+    got = {(r.node_ord, r.chunk_index): r.chunk_text for r in chunks.collect()}
+    assert got == {(0, 0): "a | b", (1, 0): "Q: What interview is it?\nA: A dialogue.", (1, 1): "Q: Why?\nA: To see."}
