@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..session import spread
 
 MAX_CONTEXT_TOKENS = 2048
 
@@ -61,15 +67,75 @@ def search(rows: DataFrame, query: Sequence[float], top_k: int = 5, score_thresh
     return out.orderBy(*best).limit(top_k)
 
 
+def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+
+
+def best_pairs(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's k best rows, ties to the row that comes first.
+
+    A matrix product finds the rows that may be among them, within its rounding error; their scores are
+    then summed in order, as ``inner_product`` does.
+    """
+    dims = queries.shape[1]
+    near = queries @ rows.T
+    slack = 8 * (dims + 1) * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max(initial=0)
+    least = np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k] if k < len(rows) else np.full(len(queries), -np.inf)
+    q, r = np.nonzero(near >= (least - slack)[:, None])
+    score = np.zeros(len(q))
+    for j in range(dims):
+        score += rows[r, j] * queries[q, j]
+    order = np.lexsort((r, -score, q))
+    q, r, score = q[order], r[order], score[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], r[first], score[first]
+
+
 def search_batch(rows: DataFrame, queries: DataFrame, top_k: int = 5, key: str = "chunk_id", embedding: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """(query_id, rank, key, score) for a table of queries; more than ``most_queries`` are dealt by a hash of their ids to blocks of about half as many, each broadcast on its own."""
+    """(query_id, key, score, rank) for a table of queries; more than ``most_queries`` are dealt by a hash of their ids to blocks of about half as many, each broadcast on its own.
+
+    Every row meets every query, in blocks of 512 queries and 4096 rows that give their best. Vectors
+    with null or non-finite components, or of another length than the first query's, are scored in Spark.
+    """
+    spark, rows = rows.sparkSession, spread(rows.select(key, embedding))
+    queries = queries.select("query_id", embedding)
     n = queries.count()
+    first = queries.filter(F.size(embedding) > 0).select(F.size(embedding)).first()
+    dims = first[0] if first else 0
+    value = F.col(embedding).cast("array<double>")
+    usual = F.coalesce((F.size(embedding) == dims) & (F.lit(dims) > 0) & ~F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e150)), F.lit(False))
     blocks = 1 if n <= most_queries else -(-2 * n // most_queries)
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField(key, rows.schema[key].dataType), StructField("score", DoubleType())])
     score = F.aggregate(F.zip_with(F.col(embedding), F.col("_q"), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
+
+    def in_blocks(held):
+        def run(batches):
+            asked = pa.ipc.open_stream(held.value).read_all().combine_chunks()
+            ids = asked.column("query_id").combine_chunks()
+            own = _matrix(asked.column(embedding).combine_chunks(), dims)
+            for b in batches:
+                for lo in range(0, len(b), 4096):
+                    part = b.slice(lo, 4096)
+                    part = part.take(pc.sort_indices(part.column(key)))
+                    vectors = _matrix(part.column(embedding), dims)
+                    for at in range(0, len(own), 512):
+                        q, r, s = best_pairs(own[at : at + 512], vectors, top_k)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + at)), part.column(key).take(pa.array(r)), pa.array(s)], ["query_id", key, "score"])
+
+        return run
+
+    def one_by_one(some: DataFrame, own: DataFrame) -> DataFrame:
+        return some.join(F.broadcast(own.select("query_id", F.col(embedding).alias("_q")))).select("query_id", key, score.alias("score"))
+
     out = None
     for k in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else queries
-        scored = rows.join(F.broadcast(own.select("query_id", F.col(embedding).alias("_q")))).select("query_id", key, score.alias("score"))
+        asked = own.filter(usual).select("query_id", value.alias(embedding)).toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, asked.schema) as stream:
+            stream.write_table(asked)
+        found = rows.filter(usual).select(key, value.alias(embedding)).mapInArrow(in_blocks(spark.sparkContext.broadcast(sink.getvalue().to_pybytes())), schema)
+        scored = found.unionByName(one_by_one(rows.filter(~usual), own)).unionByName(one_by_one(rows.filter(usual), own.filter(~usual)))
         best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).filter(F.col("rank") <= top_k)
         out = best if out is None else out.unionByName(best)
     return out

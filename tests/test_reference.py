@@ -258,3 +258,17 @@ def test_chunks_carry_their_own_text_only(spark):
     assert "content" not in chunks.columns and "_ready" not in chunks.columns
     got = {(r.node_ord, r.chunk_index): r.chunk_text for r in chunks.collect()}
     assert got == {(0, 0): "a | b", (1, 0): "Q: What interview is it?\nA: A dialogue.", (1, 1): "Q: Why?\nA: To see."}
+
+
+def test_batch_search_scores_pairs_in_blocks_and_odd_vectors_alone(spark):
+    plain = [(i, [float(i * 7 % 11) / 7, float(i * 5 % 13) / 3]) for i in range(200)] + [(i, [1.1, 4.3]) for i in range(200, 230)]
+    rows = spark.createDataFrame([*plain, (300, None), (301, [None, 1.0]), (302, [float("inf"), 1.0])], "chunk_id int, embedding array<double>")
+    asked = rows.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = retrieval.search_batch(rows, asked, 4)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    score = lambda a, b: (0.0 + a[0] * b[0]) + a[1] * b[1]
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in found.collect()}
+    for i, q in plain[::20]:
+        best = sorted([*plain, (302, [float("inf"), 1.0])], key=lambda x: (-score(x[1], q) if score(x[1], q) == score(x[1], q) else -float("inf"), x[0]))[:4]
+        assert [got[i, k] for k in range(1, 5)] == [x[0] for x in best]
+    assert [got[300, k] for k in range(1, 5)] == [0, 1, 2, 3]
