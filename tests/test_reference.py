@@ -272,3 +272,13 @@ def test_batch_search_scores_pairs_in_blocks_and_odd_vectors_alone(spark):
         best = sorted([*plain, (302, [float("inf"), 1.0])], key=lambda x: (-score(x[1], q) if score(x[1], q) == score(x[1], q) else -float("inf"), x[0]))[:4]
         assert [got[i, k] for k in range(1, 5)] == [x[0] for x in best]
     assert [got[300, k] for k in range(1, 5)] == [0, 1, 2, 3]
+
+
+def test_entropy_as_its_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    texts = ["", None, "a", "İİ x", "ΌΣΟΣ Σ", "😀😀a", "a\x00b", "ab" * 50, "".join(chr(0x4E00 + i) for i in range(300))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, Q.char_entropy(spark, str(tmp_path)).collect())) == sorted(con.execute(Q.SQL["char_entropy"]).fetchall())
