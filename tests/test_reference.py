@@ -282,3 +282,16 @@ def test_entropy_as_its_sql_on_odd_texts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, Q.char_entropy(spark, str(tmp_path)).collect())) == sorted(con.execute(Q.SQL["char_entropy"]).fetchall())
+
+
+def test_nfkc_sends_only_what_may_change(spark):
+    import random
+    import unicodedata
+
+    rng, odd = random.Random(7), "\u0301\u0323\u1161\u11a8\u3099\uff21\ufb01\u00a0\u00b5\u2011\u212b\U0001d400\u0344\u1100"
+    texts = ["".join(rng.choice("aeS \nÉßüЙか가ﾊ" + odd) for _ in range(rng.randrange(12))) for _ in range(3000)] + ["plain é text", None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(map(tuple, rows.select("i", T.nfkc("t")).collect()))
+    assert got == {i: t if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    plan = rows.select(T.nfkc("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_nfkc_parts(CASE WHEN" in plan
