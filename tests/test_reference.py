@@ -295,3 +295,12 @@ def test_nfkc_sends_only_what_may_change(spark):
     assert got == {i: t if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
     plan = rows.select(T.nfkc("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert "_nfkc_parts(CASE WHEN" in plan
+
+
+def test_patterns_are_counted_as_without_their_strings(spark):
+    texts = ["DEF f(x) and Class A, let me import\tos", "terms  and condition, TERM and conditions; | a b | c |", "Q: x\nA: y > z", "Page 3 draft Version 2 all rights\nreserved", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for ps in [*T.CONTENT_TYPES.values(), T.NOISE]:
+        slow = sum((F.coalesce(F.regexp_count("t", F.lit(f"(?i){p}")), F.lit(0)) for p in ps), F.lit(0))
+        assert all(a == b for a, b in rows.select(T.let(F.struct("t", F.lower("t").alias("low")), lambda h: T.hits(h, ps)), slow).collect())  # noqa: B023
+    assert T.needed(r"\bterms?\s+and") == "term" and T.needed("a|b") == "" and T.needed(r"\|\s*x") == "|"
