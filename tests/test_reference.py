@@ -304,3 +304,33 @@ def test_patterns_are_counted_as_without_their_strings(spark):
         slow = sum((F.coalesce(F.regexp_count("t", F.lit(f"(?i){p}")), F.lit(0)) for p in ps), F.lit(0))
         assert all(a == b for a, b in rows.select(T.let(F.struct("t", F.lower("t").alias("low")), lambda h: T.hits(h, ps)), slow).collect())  # noqa: B023
     assert T.needed(r"\bterms?\s+and") == "term" and T.needed("a|b") == "" and T.needed(r"\|\s*x") == "|"
+
+
+def test_near_dedup_over_many_batches(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(g, o, rng.normal(size=3).tolist(), "x" * o) for g, n in ((1, 1), (2, 37), (None, 9), (4, 90)) for o in range(n)]
+    rows = [(g, o, (np.array(v) / np.linalg.norm(v)).tolist(), t) for g, o, v, t in rows]
+    kept = []
+    for g in (1, 2, None, 4):
+        own: list = []
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            if all(np.dot(r[2], k[2]) <= 0.9 for k in own):
+                own.append(r)
+        kept += [(g, r[1], r[3]) for r in own]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        df = spark.createDataFrame(rows, "g int, o int, embedding array<double>, t string").repartition(3)
+        got = [(r.g, r.o, r.t) for r in dedup.near_dedup(df, "g", "o", threshold=0.9, block=7).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=str) == sorted(kept, key=str) and len(kept) < len(rows)
+
+
+def test_ingest_measures_topics_after_near_copies(spark):
+    nodes = spark.createDataFrame([(1, 0, "section", "Some plain words of a short text. " * 9)], "doc_id long, node_ord int, node_type string, content string")
+    chunks = pipelines.process_nodes(nodes, 0.0)
+    assert {"keywords", "language", "named_entities", "prev_chunk_id"} <= set(chunks.columns)
+    plan = chunks.select("doc_id", "embedding")._jdf.queryExecution().optimizedPlan().toString()
+    assert "keywords" not in plan and "FlatMapGroupsInPandas" not in plan
